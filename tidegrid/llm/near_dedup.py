@@ -4,9 +4,10 @@ Each distinct shingle set (a class; copies fall together here) has a MinHash sig
 (coordinate, value) pairs. Pairs of classes that agree in at least ``min_matches`` coordinates are retained and then
 confirmed on their full sets. Prefixes: with elements ordered from rare to frequent, two classes with that many common
 elements share one among the first (elements - min_matches + 1) of each, so only these are posted; elements that one
-class alone has are never posted. Skips: a first pass tries each class with one hub, and the merge of posting lists
-then skips pairs that are already known to be in one component. Long posting lists are cut into block pairs that go to
-different tasks.
+class alone has are never posted. Skips: passes that try each class with one hub or its best partner come first, and
+the merge of posting lists then skips pairs that are already known to be in one component. The rest is confirmed
+block by block within clusters of classes that such pairs join. Long lists and clusters are cut into block pairs that
+go to different tasks; a task returns links that join the same classes as all its links would, not all of them.
 
 A class is lost only if it agrees with a linked one in fewer than ``min_matches`` coordinates; with the defaults (48,
 20) and a similarity of 0.8 or more the chance is below 1e-8 a pair. Shingles are compared as 64-bit hashes.
@@ -34,6 +35,8 @@ COORDINATES = 48
 MIN_MATCHES = 20
 #: Classes of a posting list that one task compares with as many others.
 BLOCK = 512
+#: Passes in which each class tries the class that agrees with it most, before all open pairs are tried.
+ROUNDS = 1
 #: Members that one task holds against a hub's text.
 GROUP = 256
 
@@ -130,49 +133,137 @@ def hub_pairs(postings: DataFrame) -> DataFrame:
     return tried.groupBy("class_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best")).select((-F.col("best.hub")).alias("a"), F.col("class_id").alias("b"))
 
 
-def open_pairs(postings: DataFrame, classes: DataFrame, components: DataFrame, min_matches: int, num: int, den: int) -> DataFrame:
-    """a, b: pairs of one posting list, of different components so far, that agree in enough coordinates."""
-    labelled = postings.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    mixed = labelled.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = (
-        labelled.join(mixed, "element")
-        .withColumn("blocks", blocks)
+def blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+    """rows with p, q and mine: each key's rows are dealt into blocks, and each row goes to every pair of blocks (p <= q) that has its own (mine)."""
+    return (
+        rows.join(sizes, key)
+        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-        .select("element", "class_id", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .join(classes.select("class_id", "n_shingles", "signature"), "class_id")
-        .select("element", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "class_id", "component", "n_shingles", "signature", "mine")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")})
+        .drop("n", "blocks", "other")
     )
 
+
+def block_sides(table: pa.Table, key: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of the left and the right block of each block pair in ``table``, and whether they are different blocks."""
+    k, p, q, mine = (table.column(c).to_numpy() for c in (key, "p", "q", "mine"))
+    cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+    for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(k)], strict=True):
+        rows = np.arange(s, e)
+        yield (rows[mine[s:e] == p[s]], rows[mine[s:e] == q[s]], True) if p[s] != q[s] else (rows, rows, False)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most one edge a vertex, with the same components as the edges (a, b)."""
+    names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    kept = label != np.arange(len(names))
+    return names[label[kept]], names[kept]
+
+
+def _pairs(found: list[tuple[np.ndarray, ...]], width: int, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]), pa.int64()) for i in range(width)], names=names)
+
+
+def open_pairs(postings: DataFrame, classes: DataFrame, components: DataFrame, min_matches: int, num: int, den: int, best: bool) -> DataFrame:
+    """Of the pairs in one posting list, of different components so far, that agree in enough coordinates: with best,
+    of each class the pair that agrees in most (a, b); without, pairs (a, b) that join the same classes as all would."""
+    labelled = postings.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    mixed = labelled.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("element", "n")
+    members = blocked(labelled, "element", mixed, BLOCK).join(classes.select("class_id", "n_shingles", "signature"), "class_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
         for table in runs(batches, ["element", "p", "q"]):
-            element, p, q, cls, comp, size, mine = (table.column(c).to_numpy() for c in ("element", "p", "q", "class_id", "component", "n_shingles", "mine"))
+            cls, comp, size = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles"))
             sig = table.column("signature").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
-            cut = np.flatnonzero((element[1:] != element[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            found_a, found_b = [empty], [empty]
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(cls)], strict=True):
-                rows = np.arange(s, e)
-                cross = p[s] != q[s]
-                left, right = (rows[mine[s:e] == p[s]], rows[mine[s:e] == q[s]]) if cross else (rows, rows)
-                for k in range(0, len(left), 64):
-                    x = left[k : k + 64]
-                    open_ = comp[x, None] != comp[None, right]
-                    if not cross:
-                        open_ &= cls[x, None] < cls[None, right]
-                    open_ &= den * np.minimum(size[x, None], size[None, right]) >= num * np.maximum(size[x, None], size[None, right])
-                    i, j = np.nonzero(open_)
-                    for z in range(0, len(i), 8192):
-                        a, b = x[i[z : z + 8192]], right[j[z : z + 8192]]
-                        ok = (sig[a] == sig[b]).sum(1) >= min_matches
-                        found_a.append(cls[a[ok]])
-                        found_b.append(cls[b[ok]])
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found = []
+            for left, right, two in block_sides(table, "element"):
+                if not two and (comp[left] == comp[left[0]]).all():
+                    continue
+                for mine, others in [(left, right), (right, left)] if two and best else [(left, right)]:
+                    got = []
+                    for k in range(0, len(mine), 64):
+                        x = mine[k : k + 64]
+                        open_ = comp[x, None] != comp[None, others]
+                        open_ &= den * np.minimum(size[x, None], size[None, others]) >= num * np.maximum(size[x, None], size[None, others])
+                        i, j = np.nonzero(open_)
+                        for z in range(0, len(i), 8192):
+                            a, b = x[i[z : z + 8192]], others[j[z : z + 8192]]
+                            matches = (sig[a] == sig[b]).sum(1)
+                            ok = np.flatnonzero(matches >= min_matches)
+                            if best and len(ok):
+                                ok = ok[np.lexsort((-cls[b[ok]], matches[ok], a[ok]))]
+                                ok = ok[np.append(a[ok][1:] != a[ok][:-1], True)]
+                            got.append((cls[a[ok]], cls[b[ok]], matches[ok]))
+                    if best:
+                        found += got
+                    elif got:
+                        a, b = forest(*(np.concatenate([g[i] for g in got]) for i in range(2)))
+                        found.append((a, b, np.zeros(len(a), np.int64)))
+            yield _pairs(found, 3, ["a", "b", "matches"])
 
     key = ["element", "p", "q"]
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    found = members.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, matches long")
+    if not best:
+        return found.select("a", "b").distinct()
+    top = found.groupBy("a").agg(F.max(F.struct("matches", (-F.col("b")).alias("b"))).alias("top"))
+    return top.select((-F.col("top.b")).alias("a"), F.col("a").alias("b"))
+
+
+def confirmed_within(clusters: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the same classes as all links between different components of one cluster would.
+
+    clusters: class_id, component, cluster. Full sets are held against each other block by block."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    members = blocked(clusters, "cluster", sizes, GROUP).join(texts, "class_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for table in runs(slices(batches, "text"), ["cluster", "p", "q"]):
+            cls, comp, h1, h2 = (table.column(c).to_numpy() for c in ("class_id", "component", "h1", "h2"))
+            sets = [shingles(t or b"", n, words) for t in table.column("text").cast(pa.binary()).to_pylist()]
+            good = np.array([set_key(s) == (x, y) for s, x, y in zip(sets, h1, h2, strict=True)])
+            size = np.array([len(s) for s in sets])
+            found = []
+            for left, right, two in block_sides(table, "cluster"):
+                left, right = left[good[left]], right[good[right]]
+                if not len(left) or not len(right) or not two and (comp[left] == comp[left[0]]).all():
+                    continue
+                known = np.unique(np.concatenate([sets[r] for r in right]))
+                flat = np.searchsorted(known, np.concatenate([sets[r] for r in right]))
+                ends = np.cumsum(size[right]) - size[right]
+                mark = np.zeros(len(known) + 1, bool)
+                got = []
+                for x in left:
+                    open_ = (comp[right] != comp[x]) & (den * np.minimum(size[right], size[x]) >= num * np.maximum(size[right], size[x]))
+                    if not open_.any():
+                        continue
+                    at = np.searchsorted(known, sets[x])
+                    at = at[known[np.minimum(at, len(known) - 1)] == sets[x]]
+                    mark[at] = True
+                    common = np.add.reduceat(mark[flat], ends, dtype=np.int64)
+                    mark[at] = False
+                    ok = right[open_ & (den * common >= num * (size[right] + size[x] - common))]
+                    got.append((np.full(len(ok), cls[x]), cls[ok]))
+                if got:
+                    found.append(forest(*(np.concatenate([g[i] for g in got]) for i in range(2))))
+            yield _pairs(found, 2, ["a", "b"])
+
+    key = ["cluster", "p", "q"]
+    parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -243,10 +334,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     several = postings.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     posted = postings.join(several, "element", "left_semi").select("class_id").distinct().join(classes.select("class_id", "row_key", "h1", "h2"), "class_id")
     texts = materialize(posted.join(_numbered(docs).select("row_key", "text"), "row_key").select("class_id", "h1", "h2", "text"), "texts")
-    first = materialize(confirmed(hub_pairs(postings), texts, shingle, num, den), "links")
-    rest = confirmed(open_pairs(postings, classes, connected_components(first), min_matches, num, den), texts, shingle, num, den)
-    components = connected_components(first.unionByName(rest))
-    discard(texts, postings)
+    links = materialize(confirmed(hub_pairs(postings), texts, shingle, num, den), "links")
+    components = connected_components(links)
+    for _ in range(ROUNDS):
+        pairs = materialize(open_pairs(postings, classes, components, min_matches, num, den, True), "pairs")
+        links = links.unionByName(materialize(confirmed(pairs, texts, shingle, num, den), "links"))
+        components = connected_components(links)
+        # a class without a partner now has none later, as components only grow
+        still = materialize(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "open")
+        postings, texts = postings.join(still, "class_id", "left_semi"), texts.join(still, "class_id", "left_semi")
+    near = open_pairs(postings, classes, components, min_matches, num, den, False)
+    label = materialize(still.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")), "open")
+    clusters = connected_components(near.unionByName(label.select(F.col("component").alias("a"), F.col("class_id").alias("b"))))
+    clusters = label.join(clusters.withColumnRenamed("component", "cluster"), "class_id")
+    links = links.unionByName(materialize(confirmed_within(clusters, texts, shingle, num, den), "links"))
+    components = connected_components(links)
     named = classes.select("class_id", "h1", "h2", "doc_id").join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(smallest, "component").select("h1", "h2", "component_id")
