@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, near_dedup, sharding
-from .common import documents
+from . import ann, bpe, langid, licenses, mixing, near_dedup, sharding, tiff, token_counts, tokenfiles
+from .common import documents, materialize, shared_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,18 +25,62 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def op4_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir), 8)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read_shards(materialize(tokenfiles.write_shards(documents(spark, sf_dir), WORD_BPE, end_id=2), "token_files"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents are inserted; all are counted by a second tokenizer version too; all but the first of each group of equal texts are deleted. The second is sent twice."""
+    docs = materialize(token_counts.counted(documents(spark, sf_dir)), "counted")
+    rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    first, second = token_counts.VERSIONS
+    rollup.apply(0, token_counts.change(docs, first, new=F.col(f"`{first}`")))
+    for _ in range(2):
+        rollup.apply(1, token_counts.change(docs, second, new=F.col(f"`{second}`")))
+    kept = docs.groupBy("text_md5").agg(F.min("doc_id").alias("first_id"))
+    copies = docs.join(kept, "text_md5").where("doc_id <> first_id")
+    deletes = [token_counts.change(copies, v, old=F.col(f"`{v}`")) for v in (first, second)]
+    rollup.apply(2, deletes[0].unionByName(deletes[1]))
+    return rollup.totals()
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
+def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tiff.decode_media(tiff.encode_media(documents(spark, sf_dir)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = batch.column("pixels").to_pylist()
+            made = {
+                "payload_bytes": pa.array([len(p) for p in pixels], pa.int64()), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in pixels], pa.string()),
+                "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in pixels], pa.int64()),
+            }
+            kept = {c: batch.column(c) for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "feature")}
+            yield pa.RecordBatch.from_pydict({c: (kept | made)[c] for c in names})
+
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return pages.select("doc_id", "n_bytes", "pixels", "media_bytes", "media_sha256", "feature").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
@@ -42,6 +91,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op3_minhash_near_dedup, op5_kd_sharding, op8_source_mixing, op10_language_id)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_minhash_near_dedup, op4_multi_index_ann, op5_kd_sharding, op6_token_files, op7_token_counts, op8_source_mixing, op9_tiff_media, op10_language_id)
+}
+
+_COUNTS = " UNION ALL ".join(f"SELECT source, lang, '{v}' AS tokenizer_version, len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n FROM kept" for v, p in token_counts.VERSIONS.items())
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_token_counts": f"""
+        WITH first AS (SELECT md5(coalesce(text, '')) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+        kept AS (SELECT d.* FROM documents d JOIN first f ON md5(coalesce(d.text, '')) = f.h AND d.doc_id = f.doc_id)
+        SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM ({_COUNTS}) GROUP BY 1, 2, 3""",
+}
