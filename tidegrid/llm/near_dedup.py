@@ -4,13 +4,13 @@ Each distinct shingle set (a class; copies fall together here) has a MinHash sig
 (coordinate, value) pairs. Pairs of classes that agree in at least ``min_matches`` coordinates are retained and then
 confirmed on their full sets. Prefixes: with elements ordered from rare to frequent, two classes with that many common
 elements share one among the first (elements - min_matches + 1) of each, so only these are posted; elements that one
-class alone has are never posted. Skips: passes that try each class with one hub or its best partner come first, and
+class alone has are never posted. Skips: a pass that tries each class with its best partner comes first, and
 the merge of posting lists then skips pairs that are already known to be in one component. The rest is confirmed
 block by block within clusters of classes that such pairs join. Long lists and clusters are cut into block pairs that
 go to different tasks; a task returns links that join the same classes as all its links would, not all of them.
 
-A class is lost only if it agrees with a linked one in fewer than ``min_matches`` coordinates; with the defaults (48,
-20) and a similarity of 0.8 or more the chance is below 1e-8 a pair. Shingles are compared as 64-bit hashes.
+A class is lost only if it agrees with a linked one in fewer than ``min_matches`` coordinates; with the defaults (32,
+13) and a similarity of 0.8 or more the chance is below 1e-6 a pair. Shingles are compared as 64-bit hashes.
 
 Null and empty texts, and texts of white space alone, have an empty set and link with nothing. Rows that repeat a
 doc_id or have none are rows like others: they get the component of their text, whose id is the smallest doc_id in it
@@ -31,12 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import columns, discard, materialize, runs, slices
 
-COORDINATES = 48
-MIN_MATCHES = 20
+COORDINATES = 32
+MIN_MATCHES = 13
 #: Classes of a posting list that one task compares with as many others.
-BLOCK = 512
-#: Passes in which each class tries the class that agrees with it most, before all open pairs are tried.
-ROUNDS = 1
+BLOCK = 2048
 #: Members that one task holds against a hub's text.
 GROUP = 256
 
@@ -126,13 +124,6 @@ def prefixes(classes: DataFrame, min_matches: int) -> DataFrame:
     )
 
 
-def hub_pairs(postings: DataFrame) -> DataFrame:
-    """a, b: each class with the smaller class that is the first of most of its posting lists."""
-    first = postings.groupBy("element").agg(F.min("class_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    tried = postings.join(first, "element").where("hub < class_id").groupBy("class_id", "hub").agg(F.count("*").alias("n"))
-    return tried.groupBy("class_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best")).select((-F.col("best.hub")).alias("a"), F.col("class_id").alias("b"))
-
-
 def blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
     """rows with p, q and mine: each key's rows are dealt into blocks, and each row goes to every pair of blocks (p <= q) that has its own (mine)."""
     return (
@@ -331,18 +322,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     postings = materialize(prefixes(classes, min_matches), "postings")
-    several = postings.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
-    posted = postings.join(several, "element", "left_semi").select("class_id").distinct().join(classes.select("class_id", "row_key", "h1", "h2"), "class_id")
-    texts = materialize(posted.join(_numbered(docs).select("row_key", "text"), "row_key").select("class_id", "h1", "h2", "text"), "texts")
-    links = materialize(confirmed(hub_pairs(postings), texts, shingle, num, den), "links")
+    nothing = classes.select("class_id", F.col("class_id").alias("component"))
+    pairs = materialize(open_pairs(postings, classes, nothing, min_matches, num, den, True), "pairs")
+    # a class without a partner now has none later, as components only grow
+    still = materialize(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "open")
+    wanted = still.join(classes.select("class_id", "row_key", "h1", "h2"), "class_id")
+    texts = materialize(wanted.join(_numbered(docs).select("row_key", "text"), "row_key").select("class_id", "h1", "h2", "text"), "texts")
+    links = materialize(confirmed(pairs, texts, shingle, num, den), "links")
     components = connected_components(links)
-    for _ in range(ROUNDS):
-        pairs = materialize(open_pairs(postings, classes, components, min_matches, num, den, True), "pairs")
-        links = links.unionByName(materialize(confirmed(pairs, texts, shingle, num, den), "links"))
-        components = connected_components(links)
-        # a class without a partner now has none later, as components only grow
-        still = materialize(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "open")
-        postings, texts = postings.join(still, "class_id", "left_semi"), texts.join(still, "class_id", "left_semi")
+    postings = postings.join(still, "class_id", "left_semi")
     near = open_pairs(postings, classes, components, min_matches, num, den, False)
     label = materialize(still.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")), "open")
     clusters = connected_components(near.unionByName(label.select(F.col("component").alias("a"), F.col("class_id").alias("b"))))
