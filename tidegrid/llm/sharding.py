@@ -6,7 +6,7 @@ its source and language (hashed in code point order of their names' first bytes)
 to 0..2^20 - 1 with the hash as tie-break below. A leaf above the target size (all bytes / shards) is cut along the
 dimension whose values spread widest by weight (interquartile, in units of the whole table's spread), at the weighted
 median, found by histograms that are refined until a bin has one value; the driver sees only the bins' sums of the
-nodes in hand. Law: ``bytes``. Only DataFrame functions run.
+nodes in hand (BINS a node and dimension). Law: ``bytes``. Only DataFrame functions run.
 
 A null text has size 1 and crc32 0. Null sources and languages are values of their own. Repeated rows are rows like
 others and each gets a slot. Empty tables give empty results; shards may be empty if there are fewer points. Other
@@ -71,34 +71,25 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
         _coordinate(F.col("v_size"), F.col("tie")).alias("by_size"), _coordinate(F.col("v_source"), F.col("tie")).alias("by_source"), _coordinate(F.col("v_lang"), F.col("tie")).alias("by_lang"),
         F.shiftrightunsigned("tie", 64 - BITS * DIGITS).alias("by_hash"),
     )
-    each = materialize(each, "nodes")
-    # nodes still to be cut: id -> (conditions as a Column, first shard, shards)
-    leaves: list[tuple[Column, int, int]] = []
-    nodes = [(F.lit(True), 0, count)] if total else []
-    spread: dict[str, float] = {}
+    each = materialize(each.withColumn("node", F.lit(0 if count > 1 else -1)), "nodes")
+    # shards of each node still to be cut, by its number; the numbers of finished ones are -1 - shard
+    nodes = [(0, count)] if total and count > 1 else []
+    spread: list[int] = []
     while nodes:
-        cut = [x for x in nodes if x[2] > 1]
-        leaves += [x for x in nodes if x[2] == 1]
-        if not cut:
-            break
-        node = F.coalesce(*[F.when(c, k) for k, (c, _, _) in enumerate(cut)]).cast("int")
-        quartiles = {d: _quantiles(each, node, d, {k: (0.25, 0.75) for k in range(len(cut))}, digits=1) for d in DIMENSIONS}
-        nodes = []
-        wanted: dict[str, dict[int, tuple[float, ...]]] = {}
-        for k, (_, _, s) in enumerate(cut):
-            width = {d: q[k][1] - q[k][0] for d, q in quartiles.items()}
-            if not spread:
-                spread = {d: max(w, 1) for d, w in width.items()}
-            widest = max(DIMENSIONS, key=lambda d: width[d] / spread[d])
-            wanted.setdefault(widest, {})[k] = ((s // 2) / s,)
-        for d, which in wanted.items():
-            at = _quantiles(each, node, d, which, digits=DIGITS)
-            for k in which:
-                c, first, s = cut[k]
-                left = F.col(d) <= F.lit(at[k][0])
-                nodes += [(c & left, first, s // 2), (c & ~left, first + s // 2, s - s // 2)]
-    shard = F.coalesce(*[F.when(c, first) for c, first, _ in leaves], F.lit(0)).cast("int") if leaves else F.lit(0)
-    placed = each.withColumn("shard", shard)
+        cuts, spread = _cuts(each, [s // 2 / s for _, s in nodes], spread)
+        number, below, after = [], [], []
+        for first, s in nodes:
+            pair = []
+            for f, k in ((first, s // 2), (first + s // 2, s - s // 2)):
+                if k > 1:
+                    after.append((f, k))
+                pair.append(len(after) - 1 if k > 1 else -1 - f)
+            below.append(pair[0])
+            number.append(pair[1])
+        node, value = F.col("node"), _chosen([d for d, _ in cuts])
+        side = F.when(value <= _of_node([v for _, v in cuts]), _of_node(below)).otherwise(_of_node(number))
+        each, nodes = materialize(each.withColumn("node", F.when(node < 0, node).otherwise(side).cast("int")), "nodes"), after
+    placed = each.withColumn("shard", -1 - F.col("node"))
     groups_at = placed.where("not hot").select("text_crc32", "h", "size", "shard")
     hot_at = placed.where("hot").select("text_crc32", "h", "size", F.col("row_id").alias("doc_id"), F.col("shard").alias("own")).distinct()
     key = ["text_crc32", "h", "size"]
@@ -108,36 +99,56 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     return _slots(found, n)
 
 
-def _quantiles(each: DataFrame, node: Column, dimension: str, wanted: dict[int, tuple[float, ...]], digits: int) -> dict[int, list[int]]:
-    """Of each node, the values (of ``digits`` leading digits) at which the weight reaches the wanted shares."""
-    low = {k: [0] * len(qs) for k, qs in wanted.items()}  # prefix found so far
-    missing = {k: [0.0] * len(qs) for k, qs in wanted.items()}
-    rows = each.withColumn("node", node).where(F.col("node").isin(list(wanted)))
-    for level in range(digits):
-        shift = BITS * (DIGITS - 1 - level)
-        bin_ = F.shiftright(F.col(dimension), shift)
-        inside = F.lit(level == 0)
-        if level:  # only bins below a prefix in hand
-            for k, prefixes in low.items():
-                for p in set(prefixes):
-                    inside = inside | ((F.col("node") == k) & (F.shiftright(F.col(dimension), shift + BITS) == p))
-        sums: dict[int, list[tuple[int, int]]] = {k: [] for k in wanted}
-        for k, b, w in rows.where(inside).groupBy("node", bin_.alias("bin")).agg(F.sum("weight").alias("w")).collect():  # at most BINS rows for each node and share
-            sums[k].append((b, w))
-        for k, qs in wanted.items():
-            bins = sorted(sums[k])
-            if not level:
-                whole = sum(w for _, w in bins)
-                missing[k] = [q * whole for q in qs]
-            for i in range(len(qs)):
-                mine = [x for x in bins if not level or x[0] >> BITS == low[k][i]]
-                for b, w in mine:
-                    if missing[k][i] <= w or b == mine[-1][0]:
-                        # the last digit: leave the bin out if that comes nearer
-                        low[k][i] = b - 1 if level == digits - 1 == DIGITS - 1 and missing[k][i] < w / 2 else b
-                        break
-                    missing[k][i] -= w
-    return low
+def _of_node(values: list[int]) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("node"))
+
+
+def _chosen(dimensions: list[int]) -> Column:
+    return F.get(F.array(*[F.col(d) for d in DIMENSIONS]), _of_node(dimensions).cast("int"))
+
+
+def _reached(bins: list[tuple[int, int]], wanted: float) -> tuple[int, float, int]:
+    """The bin in which the running weight reaches ``wanted``, what is wanted within it, and its weight."""
+    for b, w in bins:
+        if wanted <= w or b == bins[-1][0]:
+            return b, wanted, w
+        wanted -= w
+    raise ValueError("no bins")
+
+
+def _cuts(each: DataFrame, shares: list[float], spread: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Of each node its widest dimension and the value there up to which its share of the weight lies; and the root's spreads."""
+    rows = each.where("node >= 0")
+    top = BITS * (DIGITS - 1)
+    each_bin = rows.select("node", "weight", F.posexplode(F.array(*[F.shiftright(F.col(d), top) for d in DIMENSIONS])).alias("d", "bin"))
+    bins: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for k, d, b, w in each_bin.groupBy("node", "d", "bin").agg(F.sum("weight").alias("w")).collect():  # at most BINS rows a node and dimension
+        bins.setdefault((k, d), []).append((b, w))
+    chosen, prefix, wanted = [], [], []
+    for k, share in enumerate(shares):
+        found, whole = {}, 0
+        for d in range(len(DIMENSIONS)):
+            mine = sorted(bins.get((k, d), [(0, 0)]))
+            whole = sum(w for _, w in mine)
+            found[d] = (_reached(mine, 0.75 * whole)[0] - _reached(mine, 0.25 * whole)[0], mine)
+        if not spread:
+            spread = [max(1, found[d][0]) for d in range(len(DIMENSIONS))]
+        d = max(found, key=lambda d: found[d][0] / spread[d])  # noqa: B023
+        b, rest, _ = _reached(found[d][1], share * whole)
+        chosen.append(d)
+        prefix.append(b)
+        wanted.append(rest)
+    for digit in range(1, DIGITS):  # refine all nodes' bins at once
+        shift = BITS * (DIGITS - 1 - digit)
+        inside = rows.withColumn("v", _chosen(chosen)).where(F.shiftright("v", shift + BITS) == _of_node(prefix))
+        sums: dict[int, list[tuple[int, int]]] = {}
+        for k, b, w in inside.groupBy("node", F.shiftright("v", shift).alias("bin")).agg(F.sum("weight").alias("w")).collect():
+            sums.setdefault(k, []).append((b, w))
+        for k, mine in sums.items():
+            b, rest, w = _reached(sorted(mine), wanted[k])
+            # at the last digit, leave the value out if that comes nearer
+            prefix[k], wanted[k] = (b - 1 if digit == DIGITS - 1 and rest < w / 2 else b), rest
+    return list(zip(chosen, prefix, strict=True)), spread
 
 
 def _slots(found: DataFrame, n: int) -> DataFrame:
