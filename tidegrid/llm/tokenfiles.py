@@ -11,8 +11,12 @@ ignored.
 
 from __future__ import annotations
 
+import array
 import functools
+import gc
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -105,35 +109,66 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return (rest + low[:, None]).reshape(-1)[: n - first * BLOCK]
 
 
+#: Before such a mark, after a letter or digit, the tokenizer's own split always cuts.
+MARK = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,!?;:])")
+
+
 class WordTokenizer:
-    """The tokenizer of a tokenizers file, for one word at a time with a bounded cache.
+    """The tokenizer of a tokenizers file, for one word at a time with a bounded cache of ids (4 bytes each).
 
-    It drops white space and never looks across ASCII white space, so the ids of a text are those of its words."""
+    It drops white space, never looks across ASCII white space and lower-cases, so the ids of a text are those of its
+    words; marks that end a word are words of their own, and ASCII letters are looked up in lower case. Texts in which a
+    special token may be written are encoded as they are."""
 
-    CACHE = 400_000
+    CACHE = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        split = [t.split() for t in texts]
+        # For words of letters a to z the normalizer and the splits change nothing, so the model alone is asked.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = self.bare.pre_tokenizer = None
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[bytes]) -> list[bytes]:
+        got = [x.ids for x in tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        flat = array.array("I", itertools.chain.from_iterable(got)).tobytes()
+        ends = list(itertools.accumulate(map(len, got), initial=0))
+        return [flat[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Of each text its ids, 4 bytes each."""
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split: list[list[bytes] | None] = []
+        for t in texts:
+            low = t.lower()
+            if any(x in low for x in self.special):
+                split.append(None)
+            elif b"\xcc" in t or b"\xcd" in t:  # combining marks, which may compose with a capital or a small letter alone
+                split.append(t.split())
+            else:
+                split.append(MARK.sub(b" ", low).split())
         cache = self.cache
         if len(cache) > self.CACHE:
             cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache[word] = tuple(got.ids)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += cache[w]
-            out.append(ids)
-        return out
+        new = set(itertools.chain.from_iterable(w for w in split if w)).difference(cache)
+        plain = [w for w in new if w.isalpha() and w.isascii() and w.islower()]
+        other = list(new.difference(plain))
+        cache.update(zip(plain, self._ids(self.bare, plain), strict=True))
+        cache.update(zip(other, self._ids(self.tokenizer, other), strict=True))
+        return [b"".join(map(cache.__getitem__, words)) if words is not None else self._ids(self.tokenizer, [t])[0] for t, words in zip(texts, split, strict=True)]
 
 
 @functools.cache
@@ -149,12 +184,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
         tokenizer, shard = word_tokenizer(tokenizer_path), TaskContext.get().partitionId()
         number, before = 0, 0
         names: list[int | None] = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
+        end = np.array([end_id], np.uint32).tobytes()
 
         def flush() -> pa.RecordBatch:
             nonlocal number, before, names, ids
-            every = np.concatenate(ids)
-            row = [[shard], [number], [before], [len(every)], [names], [[len(x) for x in ids]], [pack(every)]]
+            every = np.frombuffer(b"".join(ids), np.uint32)
+            row = [[shard], [number], [before], [len(every)], [names], [[len(x) // 4 for x in ids]], [pack(every)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             number, before, names, ids = number + 1, before + len(every), [], []
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "file", "before", "n_ids", "doc_ids", "n_tokens", "payload"])
@@ -164,8 +200,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for doc_id, got in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
                 names.append(doc_id)
-                ids.append(np.array([*got, end_id], np.uint32))
-                held += len(got) + 1
+                ids.append(got + end)
+                held += len(got) // 4 + 1
                 if held >= FILE_IDS:
                     yield flush()
                     held = 0
