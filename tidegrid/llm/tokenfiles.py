@@ -1,7 +1,7 @@
 """Token ids as binary shards of patched frame-of-reference blocks.
 
 A shard file holds blocks of 128 ids. A block keeps its minimum, the differences packed at the width that a percentile
-of them needs, and a list of exceptions for the rest; an index gives each block's start, so any block is read alone.
+of them needs (planes of whole bytes, then single bits), and a list of exceptions for the rest; an index gives each block's start, so any block is read alone.
 Shards follow ascending doc_id; a document is never split between the files of a shard.
 
 A null text is an empty one and has just the end id. Null doc_ids come first. Ties of doc_id are ordered by the text's
@@ -36,6 +36,26 @@ HEAD = 6  # of a block: minimum (4 bytes), width, exceptions
 FILE_IDS = 1 << 18
 
 
+def _pack_width(values: np.ndarray, w: int) -> np.ndarray:
+    """Each row's BLOCK values in w bits: planes of their low bytes, then the bits that are left."""
+    n, whole = len(values), w // 8
+    low = values.astype("<u4").view(np.uint8).reshape(n, BLOCK, 4)[:, :, :whole].transpose(0, 2, 1).reshape(n, -1)
+    left = np.arange(8 * whole, w, dtype=np.uint32)
+    bits = ((values[:, :, None] >> left) & 1).astype(np.uint8).reshape(n, -1)
+    return np.concatenate([low, np.packbits(bits, axis=1)], axis=1)
+
+
+def _unpack_width(data: np.ndarray, w: int) -> np.ndarray:
+    n, whole = len(data), w // 8
+    out = np.zeros((n, BLOCK, 4), np.uint8)
+    out[:, :, :whole] = data[:, : whole * BLOCK].reshape(n, whole, BLOCK).transpose(0, 2, 1)
+    values = out.view("<u4").reshape(n, BLOCK)
+    if w % 8:
+        bits = np.unpackbits(data[:, whole * BLOCK :], axis=1).reshape(n, BLOCK, w % 8)
+        values = values | (bits.astype(np.uint32) << np.arange(8 * whole, w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+    return values
+
+
 def pack(ids: np.ndarray) -> bytes:
     """ids (0 to 2**32 - 1) in the file format."""
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -66,8 +86,7 @@ def pack(ids: np.ndarray) -> bytes:
     out[places + 5] = count
     for w in np.unique(width[width > 0]).tolist():
         mine = np.flatnonzero(width == w)
-        bits = ((np.where(odd[mine], 0, rest[mine])[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        out[places[mine][:, None] + HEAD + np.arange(16 * w)] = np.packbits(bits.reshape(len(mine), -1), axis=1)
+        out[places[mine][:, None] + HEAD + np.arange(16 * w)] = _pack_width(np.where(odd[mine], 0, rest[mine]), w)
     b, j = np.nonzero(odd)
     if len(b):
         nth = np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count)
@@ -99,8 +118,7 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     rest = np.zeros((blocks, BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         mine = np.flatnonzero(width == w)
-        bits = np.unpackbits(raw[places[mine][:, None] + HEAD + np.arange(16 * w)], axis=1).reshape(len(mine), BLOCK, w)
-        rest[mine] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+        rest[mine] = _unpack_width(raw[places[mine][:, None] + HEAD + np.arange(16 * w)], w)
     b = np.repeat(np.arange(blocks), count)
     if len(b):
         nth = np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count)
@@ -223,8 +241,8 @@ def read_shards(files: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, before = batch.column("shard")[k].as_py(), batch.column("before")[k].as_py()
-                ids = unpack(batch.column("payload")[k].as_py()).astype("<u4")
-                counts = np.array(batch.column("n_tokens")[k].as_py(), np.int64)
+                ids = unpack(batch.column("payload")[k].as_py()).astype("<u4", copy=False)
+                counts = batch.column("n_tokens")[k].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(first[shard] + before + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
