@@ -45,9 +45,18 @@ def window_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return got
 
 
-def band(shingles: np.ndarray, k: int) -> np.ndarray:
-    x = shingles * np.uint64(2 * k * 0x9E3779B1 + 0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def band(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Another 32-bit hash of the shingles' halves for each band."""
+    x = low * np.uint32((2 * k * 0x9E3779B1 + 0x85EBCA6B) & 0xFFFFFFFF | 1)
+    x += high
+    x ^= x >> np.uint32(15)
+    x *= np.uint32((4 * k * 0x27D4EB2F + 0xC2B2AE35) & 0xFFFFFFFF | 1)
+    x ^= x >> np.uint32(13)
+    return x
+
+
+def halves(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
 
 
 class Templates:
@@ -60,7 +69,7 @@ class Templates:
             if len(s):
                 self.scales.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
         # by scale and band: the templates' minima
-        self.minima = {scale: [np.array([band(self.sets[i], k).min() for i in which]) for k in range(BANDS)] for scale, which in self.scales.items()}
+        self.minima = {scale: [[band(*halves(self.sets[i]), k).min() for i in which] for k in range(BANDS)] for scale, which in self.scales.items()}
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, least: float = 0.8, n: int = SHINGLE) -> DataFrame:
@@ -77,17 +86,18 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, least: float =
             first = np.cumsum(counts) - counts
             candidates: set[tuple[int, int, int, int]] = set()  # document, template, window: from, to
             if len(every):
-                blocks = {}
+                blocks, parts32 = {}, halves(every)
                 for scale in templates.scales:
                     per = -(-counts // scale)
                     doc = np.repeat(np.arange(len(counts)), per)
                     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-                    blocks[scale] = (doc, nth, first[doc] + nth * scale, np.append(doc[1:] == doc[:-1], False))
+                    alone = np.where(doc[1:] == doc[:-1], 0, 0xFFFFFFFF).astype(np.uint32)  # the last block of its document is a window of its own
+                    blocks[scale] = (doc, nth, first[doc] + nth * scale, alone)
                 for k in range(BANDS):
-                    hashed = band(every, k)
-                    for scale, (doc, nth, starts, paired) in blocks.items():
-                        low = np.minimum.reduceat(hashed, starts)
-                        both = np.where(paired, np.minimum(low, np.append(low[1:], 0)), low)
+                    hashed = band(*parts32, k)
+                    for scale, (doc, nth, starts, alone) in blocks.items():
+                        both = np.minimum.reduceat(hashed, starts) if scale > 1 else hashed.copy()
+                        np.minimum(both[:-1], both[1:] | alone, out=both[:-1])
                         for i, want in zip(templates.scales[scale], templates.minima[scale][k], strict=True):
                             for w in np.flatnonzero(both == want):
                                 d = int(doc[w])
