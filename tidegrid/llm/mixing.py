@@ -89,7 +89,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     u = F.least(F.lit(1.0), begin / F.when(F.col("target") > 0, F.col("target")))
     a = F.col("slope")
     position = F.when(a == 0, u).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * F.when(a != 0, a)))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), passes.cast("int").alias("passes"), position.alias("position"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), passes.cast("int").alias("passes"), (position + 0.0).alias("position"))
     return out.orderBy("position", "doc_id")
 
 

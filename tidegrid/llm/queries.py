@@ -61,7 +61,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "position")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +102,15 @@ ORACLE_SQL: dict[str, str] = {
         WITH first AS (SELECT md5(coalesce(text, '')) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1),
         kept AS (SELECT d.* FROM documents d JOIN first f ON md5(coalesce(d.text, '')) = f.h AND d.doc_id = f.doc_id)
         SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM ({_COUNTS}) GROUP BY 1, 2, 3""",
+    "op8_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM d GROUP BY source),
+        w AS (SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s),
+        c AS (SELECT *, CAST(2 AS DOUBLE) * source_size AS cap, CAST(2 AS DOUBLE) * source_size / weight AS ratio FROM w),
+        l AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER q, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0)) AS level FROM c
+            WINDOW q AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT level AS fits FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1),
+        t AS (SELECT source, source_size, coalesce(least(cap, fits * weight), cap) AS target FROM l LEFT JOIN f ON TRUE),
+        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target) - b)) + greatest(0, least(size, floor(target) - source_size - b)) AS BIGINT) AS taken FROM p""",
 }
