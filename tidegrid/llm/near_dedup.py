@@ -9,8 +9,8 @@ the merge of posting lists then skips pairs that are already known to be in one
 block by block within clusters of classes that such pairs join. Long lists and clusters are cut into block pairs that
 go to different tasks; a task returns links that join the same classes as all its links would, not all of them.
 
-A class is lost only if it agrees with a linked one in fewer than ``min_matches`` coordinates; with the defaults (32,
-13) and a similarity of 0.8 or more the chance is below 1e-6 a pair. Shingles are compared as 64-bit hashes.
+A class is lost only if it agrees with a linked one in fewer than ``min_matches`` coordinates; with the defaults (48,
+20) and a similarity of 0.8 or more the chance is below 1e-8 a pair. Shingles are compared as 64-bit hashes.
 
 Null and empty texts, and texts of white space alone, have an empty set and link with nothing. Rows that repeat a
 doc_id or have none are rows like others: they get the component of their text, whose id is the smallest doc_id in it
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, discard, materialize, runs, slices
 
-COORDINATES = 32
-MIN_MATCHES = 13
+COORDINATES = 48
+MIN_MATCHES = 20
 #: Classes of a posting list that one task compares with as many others.
 BLOCK = 2048
 #: Members that one task holds against a hub's text.
