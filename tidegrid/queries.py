@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as fn
 from .model import CABINET_SIGNALS, STALL_SIGNALS
 from .operators import profile, stage1, stage2, stage3
-from .plans import late_data, stage4
+from .plans import detectors, late_data, observability, stage4
 from .sources import landing, testdata
 from .sources.testdata import SQL, messages, readings, table
 
@@ -519,6 +519,53 @@ def x20_expected_by_mode(spark, sf_dir):
     return hours.join(out, ["device_id", "event_hour"], "left").select("device_id", "event_hour", F.when(F.col("o"), 0).otherwise(2).alias("expected"))
 
 
+FAULT_SQL = "f AS (SELECT *, CASE WHEN session_state = 'fault' THEN CASE event_id % 3 WHEN 0 THEN 1001 WHEN 1 THEN 1042 ELSE 2010 END ELSE 0 END AS code FROM merged WHERE device_class = 'stall')"
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stalls' readings with a fault code made up from the event's id."""
+    code = F.when(F.col("session_state") == "fault", F.when(F.col("event_id") % 3 == 0, 1001).when(F.col("event_id") % 3 == 1, 1042).otherwise(2010)).otherwise(0)
+    return merged(spark, sf_dir)[0].where("device_class = 'stall'").withColumn("stall_fault_code", code)
+
+
+def episodes_sql(rule: str, code: int) -> str:
+    return FAULT_SQL + f""", g AS (SELECT *, row_number() OVER o - row_number() OVER (PARTITION BY device_id, code = {code} ORDER BY device_ts_ms, event_id) AS run FROM f WINDOW o AS (PARTITION BY device_id ORDER BY device_ts_ms, event_id))
+SELECT '{rule}' AS rule, device_id, min(device_ts_ms) AS start_ms, max(device_ts_ms) AS end_ms, count(*) AS readings FROM g WHERE code = {code} GROUP BY device_id, run"""
+
+
+@query(episodes_sql("module_fault_v1", 1001))
+def x8_module_faults(spark, sf_dir):
+    return detectors.module_faults(faulty(spark, sf_dir))
+
+
+@query(episodes_sql("thermal_event_v1", 1042))
+def x8_thermal_events(spark, sf_dir):
+    return detectors.thermal_events(faulty(spark, sf_dir))
+
+
+@query("""w AS (SELECT device_id, device_ts_ms, value, lag(value) OVER o AS b, max(value) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak,
+max(value) OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) - min(value) OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS spread, count(*) OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS n
+FROM merged WHERE device_class = 'stall' WINDOW o AS (PARTITION BY device_id ORDER BY device_ts_ms, event_id))
+SELECT 'derate_v1' AS rule, device_id, device_ts_ms AS found_ms, b AS power_before, value AS power_after FROM w WHERE b - value >= CAST(0.2 AS DOUBLE) * peak AND spread <= CAST(0.1 AS DOUBLE) * peak AND n = 3 AND peak > 0""")
+def x8_derates(spark, sf_dir):
+    rows = merged(spark, sf_dir)[0].where("device_class = 'stall'")
+    return detectors.derates(rows, ["device_id"], "value", drop=0.2, band=0.1, plateau=3)
+
+
+@query(f"""h AS (SELECT DISTINCT device_id, CAST(floor(device_ts_ms / 3600000) AS BIGINT) AS h, count(*) OVER (PARTITION BY device_id, CAST(floor(device_ts_ms / 3600000) AS BIGINT)) AS n FROM merged),
+s AS (SELECT device_id, max(h) - min(h) + 1 AS hours FROM h GROUP BY 1)
+SELECT 'freshness_ms' AS metric, 'readings' AS feed, CAST({NOW_MS} - max(device_ts_ms) AS DOUBLE) AS value, 'ok' AS status FROM merged UNION ALL SELECT 'freshness_ms', 'orders', CAST({NOW_MS} - max(epoch_ms(o_orderdate)) AS DOUBLE), 'breached' FROM orders
+UNION ALL SELECT 'completeness', 'readings', CAST((SELECT sum(least(n, 2)) FROM h) / (SELECT 2 * sum(hours) FROM s) AS DOUBLE), 'breached' UNION ALL SELECT 'cost_bytes', 'readings', NULL, 'missing'""")
+def x19_watchdog(spark, sf_dir):
+    rows = merged(spark, sf_dir)[0]
+    orders = table(spark, sf_dir, "orders").select(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    metrics = observability.freshness_metrics({"readings": (rows, "device_ts_ms"), "orders": (orders, "t")}, NOW_MS)
+    metrics = metrics.unionByName(observability.completeness_metric(stage4.completeness(rows, 2, 3_600_000), "readings"))
+    week = 7.0 * 86_400_000
+    limits = [("freshness_ms", "readings", None, week), ("freshness_ms", "orders", 0.0, week), ("completeness", "readings", 0.99, None), ("cost_bytes", "readings", None, 1e12)]
+    return observability.watchdog(metrics, spark.createDataFrame(limits, "metric string, feed string, least double, most double"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Device-day features of the merged readings."""
     return a15_device_day(spark, sf_dir)
