@@ -104,6 +104,24 @@ def test_licenses_odd(odd, none):
     assert {r.license for r in licenses.scan(odd, {"x": "word", "y": ""}).collect()} == {"x"}
 
 
+GENUINE = {
+    "MIT-permission": '# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \u201cSoftware\u201d), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use',
+    "MIT": "released under the MIT license and",
+    "GPL-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+}
+
+
+def test_op2_genuine(spark, tmp_path):
+    rows = [(k, " ".join(BASE) + " " + text + " " + " ".join(BASE)) for k, text in enumerate(GENUINE.values())] + [(9, " ".join(BASE) + " under the license"), (10, "The quick release of an MIT report, licensed to nobody.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(set)
+    for r in q.op2_license_scan(spark, str(tmp_path)).collect():
+        got[r.doc_id].add(r.license)
+    assert all(name in got[k] for k, name in enumerate(GENUINE))
+    assert set(got) == set(range(len(GENUINE)))
+
+
 # 3
 
 

@@ -1,18 +1,22 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-A template with m shingles of five words belongs to the scale s, the least power of two not below m. At each scale a
+A template with m shingles (of five words) belongs to the scale s, the least power of two not below m. At each scale a
 text is cut into blocks of s shingles, and two neighbouring blocks are a window, so every run of m shingles lies in one.
 A window retrieves a template if they agree in one of BANDS bands of one row: with a containment of 0.8 or more their
 Jaccard similarity is 0.16 at least, unless words repeat, so a template is missed with a chance below 1 in 10**9. A
 match holds at least ``least`` of the template's distinct shingles in the window's own shingles, exactly.
 
-Words are split at ASCII white space, A-Z lower-cased. Templates and texts of fewer than five words are one shingle as
-a whole. Null and empty texts match nothing. Of equally good windows of a document and template the first counts.
+With ``whole_words`` (as the query does) words are split at ASCII punctuation and at dashes and quotes too, so full
+stops, quotation marks and comment signs make no difference, and a template has shingles of two words if it is too
+short for longer ones: those of five are taken where one inserted word breaks a fifth of them at most. Else words are
+split at ASCII white space alone, and all shingles have ``n`` words. A-Z are lower-cased. Templates and texts of fewer words than a
+shingle are one shingle as a whole. Null and empty texts match nothing. Of equally good windows of a document and template the first counts.
 Repeated rows give repeated results; an empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,25 @@ NOTICES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "BSD-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
+_APART = re.compile(rb"\xe2\x80[\x90-\xaf]")  # dashes, quotes, bullets and special spaces in UTF-8
+_BREAKS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def split_words(text: bytes, whole_words: bool) -> list[bytes]:
+    if not whole_words:
+        return text.lower().split()
+    return (_APART.sub(b" ", text) if b"\xe2\x80" in text else text).translate(_BREAKS).split()
+
 
 def window_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word shingles in text order."""
@@ -60,54 +81,62 @@ def halves(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Templates:
-    def __init__(self, notices: dict[str, str], n: int = SHINGLE):
+    def __init__(self, notices: dict[str, str], n: int = SHINGLE, whole_words: bool = False):
         words = Words()
         self.names = list(notices)
-        self.sets = [np.unique(window_shingles(np.array([words[w] for w in t.encode().lower().split()], np.uint64), n)) for t in notices.values()]
-        self.scales: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            if len(s):
-                self.scales.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
-        # by scale and band: the templates' minima
-        self.minima = {scale: [[band(*halves(self.sets[i]), k).min() for i in which] for k in range(BANDS)] for scale, which in self.scales.items()}
-
-
-def scan(docs: DataFrame, notices: dict[str, str] | None = None, least: float = 0.8, n: int = SHINGLE) -> DataFrame:
+        texts = [split_words(t.encode(), whole_words) for t in notices.values()]
+        # an inserted word breaks n - 1 of a template's shingles
+        self.lengths = [n if not whole_words or len(t) - n + 1 >= 5 * (n - 1) else min(2, n) for t in texts]
+        self.sets = [np.unique(window_shingles(np.array([words[w] for w in t], np.uint64), k)) for t, k in zip(texts, self.lengths, strict=True)]
+        # by shingle length, scales from small to large
+        self.scales: dict[int, dict[int, list[int]]] = {}
+        for i in sorted((i for i, s in enumerate(self.sets) if len(s)), key=lambda i: len(self.sets[i])):
+            self.scales.setdefault(self.lengths[i], {}).setdefault(1 << (len(self.sets[i]) - 1).bit_length(), []).append(i)
+        # by template and band: the minima
+        self.minima = [[band(*halves(s), k).min() for k in range(BANDS)] if len(s) else [] for s in self.sets]
+
+
+def scan(docs: DataFrame, notices: dict[str, str] | None = None, least: float = 0.8, n: int = SHINGLE, whole_words: bool = False) -> DataFrame:
     """doc_id, license, containment, and the words (first, after the last) of the best window of each match."""
-    templates = Templates(NOTICES if notices is None else notices, n)
+    templates = Templates(NOTICES if notices is None else notices, n, whole_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches, "text"):
-            docs_words = [list(map(words.__getitem__, (t or b"").lower().split())) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            parts = [window_shingles(np.array(w, np.uint64), n) for w in docs_words]
-            counts = np.array([len(p) for p in parts])
-            every = np.concatenate([np.zeros(0, np.uint64), *parts])
-            first = np.cumsum(counts) - counts
+            hashes = [np.array(list(map(words.__getitem__, split_words(t or b"", whole_words))), np.uint64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            parts = {length: [window_shingles(h, length) for h in hashes] for length in templates.scales}
             candidates: set[tuple[int, int, int, int]] = set()  # document, template, window: from, to
-            if len(every):
-                blocks, parts32 = {}, halves(every)
-                for scale in templates.scales:
+            for length, scales in templates.scales.items():
+                counts = np.array([len(p) for p in parts[length]])
+                every = np.concatenate([np.zeros(0, np.uint64), *parts[length]])
+                if not len(every):
+                    continue
+                blocks, parts32 = [], halves(every)
+                first, before = np.cumsum(counts) - counts, 1
+                for scale, which in scales.items():
                     per = -(-counts // scale)
                     doc = np.repeat(np.arange(len(counts)), per)
                     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
                     alone = np.where(doc[1:] == doc[:-1], 0, 0xFFFFFFFF).astype(np.uint32)  # the last block of its document is a window of its own
-                    blocks[scale] = (doc, nth, first[doc] + nth * scale, alone)
+                    blocks.append((scale, which, doc, nth, first[doc] + nth * (scale // before), alone))  # starts, in blocks of the scale before
+                    first, before = np.cumsum(per) - per, scale
                 for k in range(BANDS):
-                    hashed = band(*parts32, k)
-                    for scale, (doc, nth, starts, alone) in blocks.items():
-                        both = np.minimum.reduceat(hashed, starts) if scale > 1 else hashed.copy()
-                        np.minimum(both[:-1], both[1:] | alone, out=both[:-1])
-                        for i, want in zip(templates.scales[scale], templates.minima[scale][k], strict=True):
-                            for w in np.flatnonzero(both == want):
-                                d = int(doc[w])
-                                a = int(nth[w]) * scale
+                    low = band(*parts32, k)
+                    for scale, which, doc, nth, starts, alone in blocks:
+                        if scale > 1:
+                            low = np.minimum.reduceat(low, starts)
+                        both = low.copy()
+                        np.minimum(both[:-1], low[1:] | alone, out=both[:-1])
+                        for i in which:
+                            for w in np.flatnonzero(both == templates.minima[i][k]):
+                                d, a = int(doc[w]), int(nth[w]) * scale
                                 candidates.add((d, i, a, min(a + 2 * scale, int(counts[d]))))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             for d, i, a, b in sorted(candidates):
-                share = len(np.intersect1d(parts[d][a:b], templates.sets[i])) / len(templates.sets[i])
+                length, size = templates.lengths[i], len(hashes[d])
+                share = len(np.intersect1d(parts[length][d][a:b], templates.sets[i])) / len(templates.sets[i])
                 if share >= least and share > best.get((d, i), (0.0,))[0]:
-                    best[d, i] = (share, a, min(b + min(n, len(docs_words[d])) - 1, len(docs_words[d])))
+                    best[d, i] = (share, a, min(b + min(length, size) - 1, size))
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[d], templates.names[i], *x) for (d, i), x in sorted(best.items())]
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
