@@ -192,6 +192,16 @@ def test_near_duplicates_odd(odd, none):
     assert near_dedup.keep_one(none).count() == 0
 
 
+def test_keep_one_without_own_ids(spark):
+    """Rows without an id and rows that share one: only rows of one component displace each other."""
+    texts = [" ".join(f"{w}{g}" for w in BASE) for g in range(5)]
+    rows = [(None, texts[0]), (None, texts[0] + " indeed"), (None, texts[1]), (None, texts[2]), (3, texts[2] + " indeed"), (7, texts[3]), (7, texts[4]), (2, texts[4] + " indeed"), (8, texts[1][::-1]), (8, texts[0][::-1]), (None, ""), (None, None), (8, " ")]
+    got = Counter((r.doc_id, r.text) for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect())
+    kept = [rows[k] for k in (2, 4, 5, 7, 8, 9, 10, 11, 12)]
+    assert sum(got.values()) == len(kept) + 1 and all(got[r] == 1 for r in kept)
+    assert got[rows[0]] + got[rows[1]] == 1
+
+
 # 4
 
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,9 +85,13 @@ def set_key(got: np.ndarray) -> tuple[int, int]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and row_key: by which a class finds its text again."""
+    """doc_id, text, and row_key: by which a class finds its text again; rows of one id differ in it if their texts do."""
     docs = columns(docs, "doc_id", "text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_key"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text")
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def signatures(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
@@ -314,8 +318,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("class_id"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. Linked: den * intersection >= num * union."""
+def _components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with h1 and h2, and h1, h2, doc_id and component of each class."""
     if not 0 < min_matches <= coordinates:
         raise ValueError("min_matches must be between 1 and coordinates")
     rows = materialize(signatures(docs, shingle, coordinates), "signatures")
@@ -337,7 +341,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     clusters = label.join(clusters.withColumnRenamed("component", "cluster"), "class_id")
     links = links.unionByName(materialize(confirmed_within(clusters, texts, shingle, num, den), "links"))
     components = connected_components(links)
-    named = classes.select("class_id", "h1", "h2", "doc_id").join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    return rows, classes.select("class_id", "h1", "h2", "doc_id").join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. Linked: den * intersection >= num * union."""
+    rows, named = _components(docs, **how)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.join(smallest, "component").select("h1", "h2", "component_id")
     rows = rows.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
@@ -346,10 +355,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each group of near-duplicates; all columns stay.
-
-    Documents with empty sets link with nothing and stay. Of rows that repeat a kept document's id, one stays. Rows
-    without an id stay only where their group has no id."""
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without all but one of each group of near-duplicates; all columns stay.
+
+    Rows with empty sets link with nothing and all stay. Of a group, one row with its smallest id stays, or one without
+    an id only if the group has none; which of several texts under that id is settled by their hash. Rows of different
+    groups never displace each other, whether they share an id or have none."""
+    rows, named = _components(docs, **how)
+    members = rows.where("n_shingles > 0").join(named.select("h1", "h2", "component"), ["h1", "h2"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_key").alias("_row")))
+    kept = members.groupBy("component").agg(first.alias("first")).select("first.*")
+    own_id = F.col("doc_id").cast("long")
+    keys = {"_no_id": own_id.isNull(), "_id": F.coalesce(own_id, F.lit(0)), "_row": _row_key()}
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    one = docs.where(has_words).withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys))
+    return one.drop(*keys).unionByName(docs.where(~has_words))
