@@ -473,6 +473,11 @@ def test_viterbi():
         assert value(langid.viterbi(scores, penalty)) == pytest.approx(best)
 
 
+def test_viterbi_two_halves():
+    """The third language has the best total, but one switch pays for the gains of both halves."""
+    assert langid.viterbi(np.array([[0, 10, -30], [0, -30, 10]], np.float32), 14).tolist() == [1, 2]
+
+
 def test_language_odd(odd, none):
     model = langid.fit(odd)
     got = Counter((r.doc_id, r.lang_pred) for r in langid.identify(odd, model).collect())

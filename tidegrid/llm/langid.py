@@ -126,7 +126,8 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     main = int(scores.sum(0, dtype=np.float64).argmax())
     gain = np.cumsum(scores - scores[:, main : main + 1], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1]), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:  # no run gains what its switches cost
+    ends = gain.max() + (gain[-1] - low[-1]).max()  # the best first run and the best last one, as a path without main has a switch less than runs
+    if (gain - low).max() <= penalty and ends <= penalty:  # no run gains what its switches cost
         return np.full(len(scores), main, np.int32)
     back = np.empty(scores.shape, np.int32)
     best = scores[0].astype(np.float64)
