@@ -30,8 +30,19 @@ def test_stages(spark, docs):
 
 
 def test_odd(spark, odd, none):
-    for table in (odd, none):
+    left = {}
+    for label, table in (("odd", odd), ("none", none)):
         docs = table
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
-        docs.collect()
+            left[label, name] = docs.collect()
+            if name != "byte_bpe":
+                assert docs.columns == table.columns
+    assert not any(rows for (label, _), rows in left.items() if label == "none")
+    texts = {r.text for r in left["odd", "language_id"]}
+    assert not texts & {None, "", " \n\t ", "12 34 !?"}  # no letters
+    before, after = left["odd", "language_id"], left["odd", "near_dedup"]
+    assert {r.text for r in after} <= texts
+    assert len(after) == len(brute_components([(k, r.text) for k, r in enumerate(before)], 5).keys() & {(k, n, k) for k, n, _ in brute_components([(k, r.text) for k, r in enumerate(before)], 5)})
+    assert {r.text for r in left["odd", "source_mixing"]} <= {r.text for r in after}
+    assert len(left["odd", "byte_bpe"]) == len(left["odd", "source_mixing"])

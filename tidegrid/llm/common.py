@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,31 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Python worker expands at most about this much text at a time; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidegrid-shared"
-    return f"{base.rstrip('/')}/tidegrid"
+from ..scratch import discard, materialize, shared_dir
 
+__all__ = ["columns", "discard", "documents", "materialize", "runs", "shared_dir", "slices", "utf8"]
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Remove materialized tables that nothing reads any more."""
-    for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        for f in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            if folder.getParent().getName() == "tidegrid":
-                folder.getFileSystem(conf).delete(folder, True)
+#: A Python worker expands at most about this much text at a time; a longer document is a slice of its own.
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ penalty for each switch labels spans. The prediction is the language with most l
 letters that it has in scripts that some learned language uses.
 
 The model is fitted on a sample of at most ``sample_rows`` labelled documents (whole texts), chosen by a hash of
-doc_id; what the driver gets is one count a language and bucket. A text that is null, empty or has no letter gets
-``und``, score 0 and no spans, as does every text if there is no labelled document. Words of a script that no learned
-language uses favour none. Ties go to the smaller language code. Repeated rows give repeated results; other columns
-are ignored.
+doc_id; what the driver gets is one count a language and bucket. Letters are Unicode's category L; a mark (M) belongs to
+a word only after a letter of it. A text that is null, empty or has no letter gets ``und``, score 0 and no spans, as does
+every text if there is no labelled document. Words of a script that no learned language uses favour none. Ties go to the
+smaller language code. Very long texts are labelled whole, one at a time. Repeated rows give repeated results, an empty
+table gives none, and fitting on one gives a model without languages; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,17 +41,20 @@ PENALTY = 14.0
 #: Share of a language's training letters from which a script counts as its own.
 SCRIPT_SHARE = 0.01
 SUBTRACT = 40.0
+#: A bit that no code point has.
+MARK = 1 << 31
 
 
 @functools.cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case letter (0: not a letter) and the script."""
+    """By code point: the lower-case letter (0: neither letter nor mark; a mark's has MARK set) and the script."""
     lower = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
-        if unicodedata.category(c)[0] in "LM":
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
             x = c.lower()
-            lower[cp] = ord(x) if len(x) == 1 else cp
+            lower[cp] = (ord(x) if len(x) == 1 else cp) | (MARK if kind == "M" else 0)
     script = np.zeros(0x110000, np.uint8)
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
@@ -69,6 +73,13 @@ def word_features(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     place = np.arange(len(points)) + doc + 1
     chars = np.zeros(len(points) + len(offsets) + 4, np.uint32)
     chars[place] = lower[points]
+    if (chars >= MARK).any():  # marks count from their word's first letter on
+        at_mark = chars >= MARK
+        here = np.arange(len(chars))
+        last_letter = np.maximum.accumulate(np.where((chars != 0) & ~at_mark, here, -1))
+        last_gap = np.maximum.accumulate(np.where(chars == 0, here, -1))
+        chars[at_mark & (last_letter < last_gap)] = 0
+        chars &= np.uint32(MARK - 1)
     letter = chars != 0
     first = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
     last = np.flatnonzero(letter[:-1] & ~letter[1:])
@@ -148,8 +159,16 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """From doc_id, text and lang; rows without lang or text don't count."""
-    labelled = columns(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    chosen = labelled.select(F.xxhash64(F.col("doc_id")).alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
+    labelled = columns(labelled, "doc_id", "text", "lang").where("lang is not null")
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+    within = (1 << 32) * 4 * sample_rows // max(1, labelled.count())  # the smallest keys lie below, and few others do
+    labelled = labelled.where("text is not null")
+    offered = labelled.select(key.alias("key"), "doc_id")
+    first = lambda rows: rows.orderBy("key", "doc_id").limit(sample_rows).select("doc_id").collect()
+    ids = first(offered.where(F.col("key") < within))
+    if len(ids) < sample_rows and within < 1 << 32:
+        ids = first(offered)
+    chosen = labelled.sparkSession.createDataFrame(ids, labelled.select("doc_id").schema).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -204,10 +223,11 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang",
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """doc_id, lang_pred, score, and spans (code points from start to before end) of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES scores a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 19):
-            langs, shares, spans = labels(model, batch.column("text"), penalty)
+            langs, shares, spans = labels(shared.value, batch.column("text"), penalty)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, SPANS)], names=["doc_id", "lang_pred", "score", "spans"])
 
     return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
@@ -215,10 +235,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
     """The rows, with all their columns, whose text has letters and a language that at least ``least`` of them are in."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 19):
-            langs, shares, _ = labels(model, batch.column("text"), penalty)
+            langs, shares, _ = labels(shared.value, batch.column("text"), penalty)
             yield batch.filter(pa.array([lang != "und" and share >= least for lang, share in zip(langs, shares, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

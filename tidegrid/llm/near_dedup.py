@@ -12,7 +12,8 @@ go to different tasks; a task returns links that join the same classes as all it
 A class is lost only if it agrees with a linked one in fewer than ``min_matches`` coordinates; with the defaults (48,
 20) and a similarity of 0.8 or more the chance is below 1e-8 a pair. Shingles are compared as 64-bit hashes.
 
-Null and empty texts, and texts of white space alone, have an empty set and link with nothing. Rows that repeat a
+Null and empty texts, and texts of white space alone, have an empty set and link with nothing. Very long texts are read
+whole, one at a time, and their sets are compared whole. An empty table gives an empty result. Rows that repeat a
 doc_id or have none are rows like others: they get the component of their text, whose id is the smallest doc_id in it
 (null if it has none). Ties don't arise: components don't depend on order.
 """
@@ -20,6 +21,7 @@ doc_id or have none are rows like others: they get the component of their text,
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,10 @@ COORDINATES = 48
 MIN_MATCHES = 20
 #: Classes of a posting list that one task compares with as many others.
 BLOCK = 2048
-#: Members that one task holds against a hub's text.
+#: Members that one task holds against a hub's set.
 GROUP = 256
+#: Shingles of a cluster's block, about: a set goes to as many block pairs as its cluster has blocks.
+VOLUME = 1 << 21
 
 
 class Words(dict):
@@ -128,15 +132,14 @@ def prefixes(classes: DataFrame, min_matches: int) -> DataFrame:
     )
 
 
-def blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
-    """rows with p, q and mine: each key's rows are dealt into blocks, and each row goes to every pair of blocks (p <= q) that has its own (mine)."""
+def blocked(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """rows with p, q and mine: each key's rows are dealt into its blocks (of sizes), and each row goes to every pair of blocks (p <= q) that has its own (mine)."""
     return (
-        rows.join(sizes, key)
-        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        rows.join(sizes.select(key, F.col("blocks").cast("int").alias("blocks")), key)
         .withColumn("mine", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")})
-        .drop("n", "blocks", "other")
+        .drop("blocks", "other")
     )
 
 
@@ -175,8 +178,8 @@ def open_pairs(postings: DataFrame, classes: DataFrame, components: DataFrame, m
     """Of the pairs in one posting list, of different components so far, that agree in enough coordinates: with best,
     of each class the pair that agrees in most (a, b); without, pairs (a, b) that join the same classes as all would."""
     labelled = postings.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    mixed = labelled.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("element", "n")
-    members = blocked(labelled, "element", mixed, BLOCK).join(classes.select("class_id", "n_shingles", "signature"), "class_id")
+    mixed = labelled.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi")
+    members = blocked(labelled, "element", mixed).join(classes.select("class_id", "n_shingles", "signature"), "class_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["element", "p", "q"]):
@@ -217,23 +220,51 @@ def open_pairs(postings: DataFrame, classes: DataFrame, components: DataFrame, m
     return top.select((-F.col("top.b")).alias("a"), F.col("a").alias("b"))
 
 
-def confirmed_within(clusters: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def shingle_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """class_id, shingles (their sorted hashes) of the classes in ``wanted`` (class_id, row_key, h1, h2), from one row's text each."""
+    rows = wanted.join(_numbered(docs).select("row_key", "text"), "row_key").select("class_id", "h1", "h2", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, done = Words(), set()
+        for batch in slices(batches, "text"):
+            names, sets = [], []
+            for c, h1, h2, text in zip(*(batch.column(x).to_pylist() for x in ("class_id", "h1", "h2")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if c in done:  # the row repeats
+                    continue
+                got = shingles(text or b"", n, words)
+                if set_key(got) == (h1, h2):  # else another text under the same key
+                    done.add(c)
+                    names.append(c)
+                    sets.append(got.view(np.int64))
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["class_id", "shingles"])
+
+    return rows.mapInArrow(run, "class_id long, shingles array<long>")
+
+
+def _sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+    flat = column.flatten().to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in itertools.pairwise(ends)]
+
+
+def confirmed_within(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that join the same classes as all links between different components of one cluster would.
 
     clusters: class_id, component, cluster. Full sets are held against each other block by block."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = blocked(clusters, "cluster", sizes, GROUP).join(texts, "class_id")
+    with_sets = clusters.join(sets, "class_id")
+    sizes = with_sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / VOLUME).alias("blocks"))
+    members = blocked(with_sets, "cluster", sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for table in runs(slices(batches, "text"), ["cluster", "p", "q"]):
-            cls, comp, h1, h2 = (table.column(c).to_numpy() for c in ("class_id", "component", "h1", "h2"))
-            sets = [shingles(t or b"", n, words) for t in table.column("text").cast(pa.binary()).to_pylist()]
-            good = np.array([set_key(s) == (x, y) for s, x, y in zip(sets, h1, h2, strict=True)])
+        for table in runs(batches, ["cluster", "p", "q"]):
+            cls, comp = (table.column(c).to_numpy() for c in ("class_id", "component"))
+            sets = _sets(table.column("shingles"))
             size = np.array([len(s) for s in sets])
             found = []
             for left, right, two in block_sides(table, "cluster"):
-                left, right = left[good[left]], right[good[right]]
                 if not len(left) or not len(right) or not two and (comp[left] == comp[left[0]]).all():
                     continue
                 known = np.unique(np.concatenate([sets[r] for r in right]))
@@ -261,22 +292,20 @@ def confirmed_within(clusters: DataFrame, texts: DataFrame, n: int, num: int, de
     return members.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough. ``texts``: class_id, h1, h2, text."""
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar enough. ``sets``: class_id, shingles."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("class_id"))
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("class_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         hub, hub_set = None, None
-        for batch in slices(batches, "text"):
-            a, role, cls, h1, h2 = (batch.column(c).to_pylist() for c in ("a", "role", "class_id", "h1", "h2"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, role, cls = (batch.column(c).to_pylist() for c in ("a", "role", "class_id"))
             links = []
-            for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                got = shingles(text or b"", n, words)
-                if set_key(got) != (h1[k], h2[k]):  # another text under the same id
-                    continue
+            for k, got in enumerate(_sets(batch.column("shingles"))):
                 if not role[k]:
                     hub, hub_set = a[k], got
                 elif hub == a[k]:
@@ -286,7 +315,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
     parts_n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.unionByName(hubs).join(texts, "class_id").select("a", "part", "role", "class_id", "h1", "h2", "text")
+    rows = members.unionByName(hubs).join(sets, "class_id").select("a", "part", "role", "class_id", "shingles")
     return rows.repartition(parts_n, "a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
@@ -331,17 +360,19 @@ def _components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100
     # a class without a partner now has none later, as components only grow
     still = materialize(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "open")
     wanted = still.join(classes.select("class_id", "row_key", "h1", "h2"), "class_id")
-    texts = materialize(wanted.join(_numbered(docs).select("row_key", "text"), "row_key").select("class_id", "h1", "h2", "text"), "texts")
-    links = materialize(confirmed(pairs, texts, shingle, num, den), "links")
+    sets = materialize(shingle_sets(wanted, docs, shingle), "sets")
+    links = materialize(confirmed(pairs, sets, num, den), "links")
     components = connected_components(links)
-    postings = postings.join(still, "class_id", "left_semi")
-    near = open_pairs(postings, classes, components, min_matches, num, den, False)
+    near = open_pairs(postings.join(still, "class_id", "left_semi"), classes, components, min_matches, num, den, False)
     label = materialize(still.join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")), "open")
     clusters = connected_components(near.unionByName(label.select(F.col("component").alias("a"), F.col("class_id").alias("b"))))
     clusters = label.join(clusters.withColumnRenamed("component", "cluster"), "class_id")
-    links = links.unionByName(materialize(confirmed_within(clusters, texts, shingle, num, den), "links"))
-    components = connected_components(links)
-    return rows, classes.select("class_id", "h1", "h2", "doc_id").join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    more = materialize(confirmed_within(clusters, sets, num, den), "links")
+    components = connected_components(links.unionByName(more))
+    named = classes.select("class_id", "h1", "h2", "doc_id").join(components, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    named = materialize(named, "components")
+    discard(classes, postings, pairs, still, sets, links, label, more)
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -359,13 +390,13 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows with empty sets link with nothing and all stay. Of a group, one row with its smallest id stays, or one without
     an id only if the group has none; which of several texts under that id is settled by their hash. Rows of different
-    groups never displace each other, whether they share an id or have none."""
+    groups never displace each other, whether they share an id or have none. Columns may have any names."""
     rows, named = _components(docs, **how)
     members = rows.where("n_shingles > 0").join(named.select("h1", "h2", "component"), ["h1", "h2"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_key").alias("_row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("row_key").alias("key")))
     kept = members.groupBy("component").agg(first.alias("first")).select("first.*")
-    own_id = F.col("doc_id").cast("long")
-    keys = {"_no_id": own_id.isNull(), "_id": F.coalesce(own_id, F.lit(0)), "_row": _row_key()}
-    has_words = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
-    one = docs.where(has_words).withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys))
-    return one.drop(*keys).unionByName(docs.where(~has_words))
+    own_id, text = F.col("`doc_id`").cast("long"), F.col("`text`")
+    has_words = F.coalesce(text.rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), has_words.alias("words"), own_id.isNull().alias("no_id"), F.coalesce(own_id, F.lit(0)).alias("id"), _row_key().alias("key"))
+    one = packed.where("words").join(kept, ["no_id", "id", "key"], "left_semi").dropDuplicates(["no_id", "id", "key"])
+    return one.select("row.*").unionByName(packed.where("not words").select("row.*"))

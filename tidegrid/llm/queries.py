@@ -46,22 +46,23 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches: all documents are inserted; all are counted by a second tokenizer version too; all but the first of each group of equal texts are deleted. The second is sent twice."""
-    docs = materialize(token_counts.counted(documents(spark, sf_dir)), "counted")
+    """All documents are inserted with an estimate of their byte BPE tokens (a quarter of the bytes) and with their word
+    BPE tokens; a batch that is sent twice revises the estimates to the counts; then all but the first of each group of
+    equal texts are deleted. The first two batches are compacted before the third."""
+    docs = materialize(token_counts.counted(documents(spark, sf_dir), BYTE_BPE, WORD_BPE), "counted")
     rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    first, second = token_counts.VERSIONS
-    rollup.apply(0, token_counts.change(docs, first, new=F.col(f"`{first}`")))
+    guess, exact, word = F.ceil(F.col("n_bytes") / 4), F.col(token_counts.BYTE), F.col(token_counts.WORD)
+    rollup.apply(0, token_counts.change(docs, token_counts.BYTE, new=guess).unionByName(token_counts.change(docs, token_counts.WORD, new=word)))
     for _ in range(2):
-        rollup.apply(1, token_counts.change(docs, second, new=F.col(f"`{second}`")))
-    kept = docs.groupBy("text_md5").agg(F.min("doc_id").alias("first_id"))
-    copies = docs.join(kept, "text_md5").where("doc_id <> first_id")
-    deletes = [token_counts.change(copies, v, old=F.col(f"`{v}`")) for v in (first, second)]
-    rollup.apply(2, deletes[0].unionByName(deletes[1]))
+        rollup.apply(1, token_counts.change(docs, token_counts.BYTE, old=guess, new=exact))
+    rollup.compact()
+    gone = token_counts.copies(docs)
+    rollup.apply(2, token_counts.change(gone, token_counts.BYTE, old=exact).unionByName(token_counts.change(gone, token_counts.WORD, old=word)))
     return rollup.totals()
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,22 +96,19 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_minhash_near_dedup, op4_multi_index_ann, op5_kd_sharding, op6_token_files, op7_token_counts, op8_source_mixing, op9_tiff_media, op10_language_id)
 }
 
-_COUNTS = " UNION ALL ".join(f"SELECT source, lang, '{v}' AS tokenizer_version, len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n FROM kept" for v, p in token_counts.VERSIONS.items())
-
 ORACLE_SQL: dict[str, str] = {
-    "op7_token_counts": f"""
-        WITH first AS (SELECT md5(coalesce(text, '')) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1),
-        kept AS (SELECT d.* FROM documents d JOIN first f ON md5(coalesce(d.text, '')) = f.h AND d.doc_id = f.doc_id)
-        SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM ({_COUNTS}) GROUP BY 1, 2, 3""",
     "op8_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM d GROUP BY source),
-        w AS (SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s),
+        w AS (SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(CASE (rank - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS a FROM s),
         c AS (SELECT *, CAST(2 AS DOUBLE) * source_size AS cap, CAST(2 AS DOUBLE) * source_size / weight AS ratio FROM w),
         l AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER q, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0)) AS level FROM c
             WINDOW q AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         f AS (SELECT level AS fits FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1),
-        t AS (SELECT source, source_size, coalesce(least(cap, fits * weight), cap) AS target FROM l LEFT JOIN f ON TRUE),
-        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target) - b)) + greatest(0, least(size, floor(target) - source_size - b)) AS BIGINT) AS taken FROM p""",
+        t AS (SELECT source, source_size, a, coalesce(least(cap, fits * weight), cap) AS target FROM l LEFT JOIN f ON TRUE),
+        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT *, b + pass * source_size AS place, CAST(greatest(0, least(size, floor(target) - b - pass * source_size)) AS BIGINT) AS part FROM p, (VALUES (0), (1)) n(pass)),
+        u AS (SELECT *, least(CAST(1 AS DOUBLE), place / nullif(target, 0)) AS u FROM e),
+        v AS (SELECT *, CASE WHEN a = 0 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END + CAST(0 AS DOUBLE) AS t FROM u)
+        SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, CAST(sum(part) AS BIGINT) AS taken, min(t) FILTER (part > 0) AS first_position, max(t) FILTER (part > 0) AS last_position FROM v GROUP BY doc_id""",
 }

@@ -1,11 +1,14 @@
 """TIFF media columns: write bytes as 8-bit samples, walk a file's directories, and give one row a page.
 
 Read: either byte order, chained directories, strips and tiles, no compression, LZW, deflate and PackBits, the
-horizontal predictor, 8-bit chunky samples. Written: little-endian pages of any of these.
-
-A null media value has no pages. A file that can't be read gives one row with its error and no pixels; a chain that
-comes back to a directory ends there. Repeated rows give repeated pages; an empty table gives none. Other columns are
-ignored.
+horizontal predictor, 8-bit chunky samples. Written: little-endian pages of any of these. What else a file may hold
+(planes apart, other predictors, sample sizes and bit orders) is refused, not guessed.
+
+A null media value has no pages. A file that can't be read, or from its bad page on, gives one row with its error and no
+pixels; a chain that comes back to a directory ends there. Nothing is allocated before the file could hold it: a page has
+at most LIMIT bytes and no more than its compression can make of its strips, and decoders stop at a strip's size.
+Repeated rows give repeated pages; an empty table gives none. Very long texts make one large page each, in a batch of its
+own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +25,17 @@ from pyspark.sql import DataFrame
 from .common import columns, slices
 
 #: Tags of the format.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANES, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 #: Compression codes of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Field types of the format (struct code and size).
 TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 
+#: Bytes that a byte of a strip can become at most, by compression.
+RATIO = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
+#: Bytes of a page's samples that are read at most, and of pages that are held at once.
+LIMIT, HELD = 1 << 30, 1 << 26
+
 #: What a payload is padded to a multiple of: a row of 64 pixels of three samples.
 UNIT = 192
 
@@ -51,9 +59,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, size: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < size:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -107,7 +115,7 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int) -> bytes:
     out = bytearray()
     table: list[bytes] = []
     width, bits, held, before = 9, 0, 0, b""
@@ -119,7 +127,7 @@ def lzw_decode(data: bytes) -> bytes:
         bits -= width
         code = held >> bits
         held &= (1 << bits) - 1
-        if code == 257:
+        if code == 257 or len(out) >= size:
             break
         if code == 256:
             table = [bytes((k,)) for k in range(256)] + [b"", b""]
@@ -138,7 +146,14 @@ def lzw_decode(data: bytes) -> bytes:
 
 
 ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: packbits_encode}
-DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+
+
+def inflate(data: bytes, size: int) -> bytes:
+    return zlib.decompressobj().decompress(data, size)
+
+
+#: From a strip and the size of its samples.
+DECODE = {NONE: lambda data, size: data[:size], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows: int = 256, tile: int = 0) -> bytes:
@@ -203,19 +218,34 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]
 
 
 def read_page(data: bytes, fields: dict[int, tuple[int, ...]]) -> np.ndarray:
-    """uint8 [length, width, samples]."""
+    """uint8 [length, width, samples]; raises ValueError or KeyError for what isn't read."""
     width, length, samples = fields[WIDTH][0], fields[LENGTH][0], fields.get(SAMPLES, (1,))[0]
+    if not width or not length or not samples:
+        raise ValueError("a page without samples")
     if set(fields.get(BITS, (1,))) != {8}:
         raise ValueError("samples aren't 8 bits")
-    decode, predictor = DECODE[fields.get(COMPRESSION, (NONE,))[0]], fields.get(PREDICTOR, (1,))[0]
+    if samples > 1 and fields.get(PLANES, (1,))[0] != 1:
+        raise ValueError("planes are apart")
+    if fields.get(FILL_ORDER, (1,))[0] != 1:
+        raise ValueError("bits are in another order")
+    compression, predictor = fields.get(COMPRESSION, (NONE,))[0], fields.get(PREDICTOR, (1,))[0]
+    if compression not in DECODE or predictor not in (1, 2):
+        raise ValueError(f"compression {compression} with predictor {predictor}")
     tiled = TILE_OFFSETS in fields
+    places, counts = fields[TILE_OFFSETS if tiled else STRIP_OFFSETS], fields[TILE_COUNTS if tiled else STRIP_COUNTS]
     wide, high = (fields[TILE_WIDTH][0], fields[TILE_LENGTH][0]) if tiled else (width, min(fields.get(ROWS_PER_STRIP, (length,))[0], length))
-    across = -(-width // wide) if width else 0
+    if not wide or not high:
+        raise ValueError("strips or tiles without samples")
+    across, down = -(-width // wide), -(-length // high)
+    if not len(places) == len(counts) == across * down:
+        raise ValueError("another number of strips or tiles than the page has")
+    if max(width * length, wide * high) * samples > min(LIMIT, RATIO[compression] * sum(min(n, len(data)) for n in counts)):
+        raise ValueError("more samples than the file can hold")
     out = np.zeros((length, width, samples), np.uint8)
-    for k, (at, n) in enumerate(zip(fields[TILE_OFFSETS if tiled else STRIP_OFFSETS], fields[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+    for k, (at, n) in enumerate(zip(places, counts, strict=True)):
         y, x = k // across * high, k % across * wide
         rows = high if tiled else min(high, length - y)
-        part = np.frombuffer(decode(data[at : at + n]), np.uint8, rows * wide * samples).reshape(rows, wide, samples)
+        part = np.frombuffer(DECODE[compression](data[at : at + n], rows * wide * samples), np.uint8, rows * wide * samples).reshape(rows, wide, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
         out[y : y + rows, x : x + wide] = part[: length - y, : width - x]
@@ -254,20 +284,28 @@ PAGES = "doc_id long, n_bytes long, page int, width int, length int, samples int
 def decode_media(media: DataFrame) -> DataFrame:
     """One row a page of doc_id, n_bytes, media: its samples, the file's length and SHA-256, a feature, or an error."""
     names = [x.split()[0] for x in PAGES.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    schema = pa.schema([pa.field(a, kinds[b]) for a, b in (x.split() for x in PAGES.split(", "))])
+
+    def pages(doc_id: int | None, n: int | None, data: bytes) -> Iterator[tuple]:
+        about = (len(data), hashlib.sha256(data).hexdigest())
+        try:
+            for k, (_, fields) in enumerate(directories(data)):
+                page = read_page(data, fields)
+                yield (doc_id, n, k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), *about, feature(page), None)
+        except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+            yield (doc_id, n, None, None, None, None, None, *about, None, str(e) or type(e).__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            rows = []
+            rows, held = [], 0
             for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                if data is None:
-                    continue
-                about = (len(data), hashlib.sha256(data).hexdigest())
-                try:
-                    for k, (_, fields) in enumerate(directories(data)):
-                        page = read_page(data, fields)
-                        rows.append((doc_id, n, k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), *about, feature(page) if page.size else "", None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((doc_id, n, None, None, None, None, None, *about, None, str(e) or type(e).__name__))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([pa.field(a, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[b]) for a, b in (x.split() for x in PAGES.split(", "))]))
+                for row in pages(doc_id, n, data) if data is not None else ():
+                    rows.append(dict(zip(names, row, strict=True)))
+                    held += len(row[6] or b"")
+                    if held > HELD:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return columns(media, "doc_id", "n_bytes", "media").mapInArrow(run, PAGES)
