@@ -1,13 +1,16 @@
 """Rules, metrics, mediated reads, Python parsers, compaction and the generators."""
 
+import hashlib
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid.functions import scalars as fn
 from tidegrid.functions.plugins import python_parser
 from tidegrid.model import CABINET, STALL
-from tidegrid.operators import stage1
+from tidegrid.operators import profile, reports, stage1, stage3
 from tidegrid.plans import detectors, observability, stage4
 from tidegrid.sources import generator, landing
 
@@ -119,3 +122,72 @@ def test_generated_feeds(spark, tmp_path):
     p = generator.provisioning(spark)
     assert p.select("device_id", "effective_ts").distinct().count() == p.count()
     assert p.where("hardware_rev = 'rev-1'").count() == 20
+
+
+def test_declared_detectors(spark):
+    rows = spark.createDataFrame([("d", i, i, c) for i, c in enumerate([1001, 0, 1042, 1001])], "device_id string, device_ts_ms long, event_id long, stall_fault_code int")
+    first = detectors.findings(rows)
+    assert Counter(r.detector for r in first.collect()) == {"module_fault": 2, "thermal_event": 1}
+    assert detectors.findings(rows, detectors.DECLARED, first).count() == 0
+    again = detectors.declared([{"name": "module_fault", "version": 2, "rule": "faults"}], {"faults": detectors.module_faults})
+    assert {r.detector_version for r in detectors.findings(rows, again, first).collect()} == {2}
+
+
+def test_retention(spark, tmp_path):
+    now = 1_780_358_400_000  # 2026-06-02
+    rows = spark.createDataFrame([(d, now - d * 86_400_000) for d in (0, 89, 90, 91, 390, 400, 700, 760)], "days int, t long")
+    kept = {k: sorted(r.days for r in stage4.retained(rows, "t", now, k).collect()) for k in ("rows", "features", "linkage")}
+    assert kept == {"rows": [0, 89, 90, 91, 390], "features": [0, 89, 90, 91, 390, 400, 700], "linkage": [0, 89, 90]}
+    root = f"file://{tmp_path}/t"
+    spark.createDataFrame([("2024-01-0" + str(k), k) for k in (1, 2, 3)], "event_date string, k int").write.partitionBy("event_date").parquet(root)
+    assert stage4.drop_expired(spark, root, "2024-01-03") == ["event_date=2024-01-01", "event_date=2024-01-02"]
+    assert [r.k for r in spark.read.parquet(root).collect()] == [3]
+
+
+def test_feeds_by_day_and_history(spark, tmp_path):
+    rma, path = generator.feed(spark, "rma"), f"file://{tmp_path}/rma"
+    days = [r.d for r in rma.select(F.date_format(F.timestamp_millis("opened_ts"), "yyyy-MM-dd").alias("d")).distinct().collect()]
+    assert sum(stage4.load_daily(rma, "opened_ts", path, d) for d in days) == 150
+    stage4.load_daily(rma, "opened_ts", path, days[0])
+    assert spark.read.parquet(path).count() == 150
+    history = stage4.with_climate(generator.provisioning(spark), spark.createDataFrame([("site-000", "hot")], "site_id string, climate string"))
+    probes = generator.devices(spark, generator.Config()).select("device_id", F.lit(generator.Config().now_ms).alias("t"))
+    got = {r.device_id: r for r in stage3.as_of(probes, history, "device_id", "t", "effective_ts", ["hardware_rev", "site_id", "climate"]).collect()}
+    newest = {r.device_id: r for r in history.orderBy("effective_ts").collect()}
+    assert {d: (r.hardware_rev, r.climate) for d, r in got.items()} == {d: (r.hardware_rev, r.climate) for d, r in newest.items()}
+    current = stage3.validity(history, "device_id", "effective_ts").where("valid_to is null")
+    assert {r.device_id: r.hardware_rev for r in current.collect()} == {d: r.hardware_rev for d, r in newest.items()}
+
+
+def test_corpus_and_reports(spark, tmp_path):
+    c = generator.Config(devices_per_firmware=5)
+    m = landing.parse_raw(generator.telemetry(spark, c)).persist()
+    root = f"file://{tmp_path}/corpus"
+    manifest = landing.write_envelopes(m, root, {"seed": c.seed})
+    assert json.loads((tmp_path / "corpus/manifest.json").read_text()) == manifest and len(manifest["groups"]) == 5
+    assert (tmp_path / "corpus/stall/2.1.4/messages.jsonl").is_dir()
+    back = landing.read_envelopes(spark, root)
+    assert stage4.replay_difference(m.select("raw"), back.select("raw")).count() == 0
+    assert sum(g["messages"] for g in manifest["groups"].values()) == m.count()
+    issues = F.from_json("raw", "_debug_injected_issues array<string>")["_debug_injected_issues"]
+    messages = m.select("message_id", "device_id", "device_class", "firmware_version", "arrival_ts_ms", F.size("readings").alias("n_readings"), issues.alias("issues"), profile.message_size(F.col("raw")).alias("n_bytes"))
+    assert messages.agg(F.sum("n_bytes")).first()[0] == sum(len(r.raw.encode()) for r in m.collect())
+    rows, _ = stage1.parse_messages(m, stage1.default_registry())
+    outages = spark.createDataFrame([("2.1.4", 10, 5)], "firmware_version string, buffered long, dropped long")
+    metrics = profile.firmware_metrics(messages, rows, profile.burst_events(messages), outages)
+    got = {r.firmware_version: r for r in metrics.collect()}
+    assert got["2.1.4"].drop_rate == 0.333333 and got["2.1.4"].outage_rate == 0.2 and got["3.0.1"].drop_rate is None
+    assert got["2.1.4"].duplicate_messages == manifest["groups"]["stall/2.1.4"].get("duplicate_of", 0)
+    assert got["2.1.4"].expected_outage_probability == 0.625
+    text = reports.firmware_report(metrics, {"seed": c.seed})
+    assert text.index("## 1.8.2 (cabinet)") < text.index("## 2.1.4 (stall)") and "n/a" in text
+    assert json.loads(reports.to_json(metrics, ["firmware_version"]))["2.1.4"]["devices"] == 5
+    assert [r.x for r in spark.createDataFrame([(0.256,), (None,)], "v double").select(fn.percent(F.col("v"), 1).alias("x")).collect()] == ["25.6%", "n/a"]
+    m.unpersist()
+
+
+def test_payload_hash(spark):
+    one = spark.createDataFrame([(2, "x", None)], "b int, a string, c string")
+    text = fn.canonical_json({c: F.col(c) for c in one.columns})
+    r = one.select(text.alias("t"), fn.payload_hash(text).alias("h")).first()
+    assert r.t == '{"a":"x","b":2,"c":null}' and r.h == "sha1:" + hashlib.sha1(r.t.encode()).hexdigest()[:16]

@@ -40,17 +40,47 @@ def payload_hash(text: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.left(F.sha1(text.cast("binary")), F.lit(16)))
 
 
-def strict_cast(raw: Column, kind: str) -> Column:
-    """The value, or null where a strict reader would refuse it; raw is text."""
-    t = F.trim(raw)
-    if kind == "float":
-        return t.try_cast("double")
-    if kind == "int":  # a float in text is refused, a number that is integral is not
-        d = t.try_cast("double")
-        return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")).when(t.rlike(r"^[+-]?\d+\.0*$") & (d == F.floor(d)), d.try_cast("bigint"))
-    if kind == "bool":
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """The fields as compact JSON, names in order, nulls kept: what payload_hash takes. Numbers are in Spark's own text."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_DIGITS = r"\d+(_\d+)*"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, _ENDS, "")
+
+
+def strict_cast(raw: Column, kind: str, given: str = "string") -> Column:
+    """The value, or null where a strict reader would refuse it. ``given``: the type of raw, as in dtypes.
+
+    Text becomes a float or an int only if it is written as one ("2.0" is no int), a number an int only if it is whole,
+    and nothing but a boolean, "true" or "false" a bool. Ints are of 64 bits."""
+    if kind not in ("float", "int", "bool"):
+        return F.initcap(raw.cast("string")) if given == "boolean" else raw.cast("string")
+    if given == "string":
+        t = stripped(raw)
+        plain = F.replace(t, F.lit("_"), F.lit(""))
+        if kind == "float":
+            number = t.rlike(rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$")
+            named = F.lower(F.ltrim(t, F.lit("+")))
+            return F.when(number, plain.try_cast("double")).when(named.rlike("^-?nan$"), float("nan")).when(named.rlike("^-?inf(inity)?$"), F.when(F.left(named, F.lit(1)) == "-", float("-inf")).otherwise(float("inf")))
+        if kind == "int":
+            return F.when(t.rlike(rf"^[+-]?{_DIGITS}$"), plain.try_cast("bigint"))
         return F.when(F.lower(t) == "true", True).when(F.lower(t) == "false", False)
-    return raw
+    if kind == "bool":
+        return raw if given == "boolean" else F.lit(None).cast("boolean")
+    if kind == "float":
+        return raw.cast("double")
+    return F.when(raw.cast("double") == F.floor(raw.cast("double")), raw.try_cast("bigint")) if given in ("double", "float") else raw.try_cast("bigint")
+
+
+def percent(x: Column, digits: int = 0) -> Column:
+    """A share as text; n/a for null."""
+    return F.coalesce(F.concat(F.format_number(100 * x, digits), F.lit("%")), F.lit("n/a"))
 
 
 def half_even(x: Column) -> Column:

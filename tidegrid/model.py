@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+#: Classes, names of fields and their types.
 STALL, CABINET = "stall", "cabinet"
 CLASSES = (STALL, CABINET)
 ENVELOPE_REQUIRED = ("message_id", "device_id", "device_class", "arrival_ts_ms", "readings")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, stats
 from ..model import DEFAULTS, NATURAL_KEY, Thresholds
+from ..scratch import materialize
+from .quantiles import percentiles
 from .stage1 import timestamp_reason
 
 GROUP = ("device_class", "firmware_version")
@@ -27,10 +29,15 @@ def clock_drift(readings: DataFrame) -> DataFrame:
 
 
 def lateness(readings: DataFrame) -> DataFrame:
+    """By class: how late readings arrive, over plausible times. Percentiles are exact and no task holds a class."""
     ok = (F.col("device_ts_ms") > 0) & F.col("arrival_ts_ms").isNotNull()
-    x = F.when(ok, (F.col("arrival_ts_ms") - F.col("device_ts_ms")) / 1000.0)
-    p = F.percentile(x, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return readings.groupBy("device_class").agg(F.count(x).alias("n"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("skipped"), F.min(x).alias("min_s"), F.round(p[0], 6).alias("median_s"), F.round(p[1], 6).alias("p90_s"), F.round(p[2], 6).alias("p99_s"), F.max(x).alias("max_s"))
+    x = F.when(ok, F.col("arrival_ts_ms") - F.col("device_ts_ms"))
+    rows = materialize(readings.select("device_class", x.alias("late_ms")), "lateness")
+    p = percentiles(rows, ["device_class"], F.col("late_ms"), [0.5, 0.9, 0.99])
+    ends = rows.groupBy("device_class").agg(F.count_if(F.col("late_ms").isNull()).alias("skipped"), (F.min("late_ms") / 1000.0).alias("min_s"), (F.max("late_ms") / 1000.0).alias("max_s"))
+    at = lambda i, name: F.round(F.col("p")[i] / 1000.0, 6).alias(name)
+    same = p["device_class"].eqNullSafe(ends["device_class"])
+    return p.join(ends, same).select(p["device_class"], "n", "skipped", "min_s", at(0, "median_s"), at(1, "p90_s"), at(2, "p99_s"), "max_s")
 
 
 def duplicate_keys(readings: DataFrame) -> DataFrame:
@@ -52,6 +59,15 @@ def message_duplicates(readings: DataFrame) -> DataFrame:
     return each.groupBy("device_class").agg(F.count("*").alias("messages"), F.count_if("every").alias("pure"), F.count_if(F.col("some") & ~F.col("every")).alias("partial"))
 
 
+def class_profile(readings: DataFrame) -> DataFrame:
+    """Lateness, duplicate keys and duplicate messages of each class in one row."""
+    late, keys, messages = lateness(readings), duplicate_keys(readings), message_duplicates(readings)
+    out = late.join(keys, late["device_class"].eqNullSafe(keys["device_class"]), "left").drop(keys["device_class"])
+    out = out.join(messages, late["device_class"].eqNullSafe(messages["device_class"]), "left").drop(messages["device_class"])
+    rates = {f"{k}_rate": ratio(F.col(k), F.col("messages")) for k in ("pure", "partial")}
+    return out.withColumns(rates)
+
+
 def interarrival(messages: DataFrame) -> DataFrame:
     w = W.partitionBy(*GROUP, "device_id").orderBy("arrival_ts_ms", "message_id")
     gaps = messages.withColumn("gap", (F.col("arrival_ts_ms") - F.lag("arrival_ts_ms").over(w)) / 1000.0)
@@ -85,6 +101,11 @@ def size_label(size: Column, edges: tuple[int, ...] = DEFAULTS.size_edges) -> Co
     return out.otherwise(labels[-1])
 
 
+def message_size(raw: Column) -> Column:
+    """Bytes of a message's text as landed, in UTF-8."""
+    return F.octet_length(raw).cast("long")
+
+
 def size_histogram(messages: DataFrame, edges: tuple[int, ...] = DEFAULTS.size_edges) -> DataFrame:
     """messages: with n_bytes. Every label of every group, also those that don't occur."""
     counts = messages.groupBy(*GROUP, size_label(F.col("n_bytes"), edges).alias("label")).agg(F.count("*").alias("c"))
@@ -114,23 +135,45 @@ def burst_groups(messages: DataFrame, events: DataFrame) -> DataFrame:
     return devices.join(hits, list(GROUP), "left").select(*GROUP, "devices", F.coalesce("d", F.lit(0)).alias("devices_with_bursts"), F.coalesce("e", F.lit(0)).alias("burst_events"))
 
 
-def firmware_metrics(messages: DataFrame, readings: DataFrame, events: DataFrame, truth: DataFrame) -> DataFrame:
-    """truth: message_id of true bursts. Detector recall and precision, device recall, and clock issues; null where nothing divides."""
-    flagged = events.select("message_id").withColumn("_f", F.lit(True))
-    true = truth.select("message_id").withColumn("_t", F.lit(True))
-    m = messages.join(flagged, "message_id", "left").join(true, "message_id", "left").withColumns({"_f": F.coalesce("_f", F.lit(False)), "_t": F.coalesce("_t", F.lit(False))})
-    dev = m.groupBy(*GROUP, "device_id").agg(F.bool_or("_t").alias("dt"), F.bool_or(F.col("_f") & F.col("_t")).alias("dh"))
-    dev = dev.groupBy(*GROUP).agg(F.count("*").alias("devices"), F.count_if("dt").alias("devices_true"), F.count_if("dh").alias("devices_hit"))
-    hit = F.count_if(F.col("_f") & F.col("_t"))
-    g = m.groupBy(*GROUP).agg(F.count("*").alias("messages"), F.count_if("_t").alias("true_bursts"), F.count_if("_f").alias("flagged"), hit.alias("hits"))
-    bad = readings.groupBy(*GROUP).agg(F.count("*").alias("readings"), F.count_if(timestamp_reason(F.col("device_ts_ms"), F.col("arrival_ts_ms")).isNotNull()).alias("clock_issues"))
-    j = g.join(dev, list(GROUP)).join(bad, list(GROUP))
+#: How much more often than usual a firmware's devices lose touch, and the most that is expected of any.
+QUIRKS = {"2.1.4": 2.5, "2.3.0": 1.3, "3.0.1": 0.5, "1.8.2": 2.5, "1.9.0": 1.3}
+MOST_OUTAGES, MOST_DROPS = 0.95, 0.9
+
+
+def firmware_metrics(messages: DataFrame, readings: DataFrame, events: DataFrame, outages: DataFrame, outage: float = 0.25, drop: float = 0.1, quirks: dict[str, float] | None = None) -> DataFrame:
+    """By firmware: what was injected, and how well the burst detector does against it; shares are null where nothing divides.
+
+    messages: with issues (array: post_outage_burst, late_arrival, duplicate_of:...). outages: a row for each outage of a
+    device: firmware_version, buffered and dropped readings. outage and drop: what is expected of a usual firmware."""
+    quirks = QUIRKS if quirks is None else quirks
+    firmware = F.col("firmware_version")
+    has = lambda kind: F.exists("issues", lambda x: x.startswith(kind))
+    flagged = events.select("message_id").distinct().withColumn("_f", F.lit(True))
+    m = messages.join(flagged, "message_id", "left").withColumns({"_f": F.coalesce("_f", F.lit(False)), "_t": F.coalesce(has("post_outage_burst"), F.lit(False))})
+    # by device first, so the distinct counts are sums
+    dev = m.groupBy("firmware_version", "device_id").agg(
+        F.collect_set("device_class").alias("classes"), F.count("*").alias("messages"), F.sum("n_readings").alias("readings"), F.count_if("_t").alias("true"), F.count_if("_f").alias("flagged"), F.count_if(F.col("_f") & F.col("_t")).alias("hits"),
+        F.count_if(has("late_arrival")).alias("late"), F.count_if(has("duplicate_of:")).alias("again"),
+    )
+    g = dev.groupBy("firmware_version").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("classes")))), "/").alias("device_classes"), F.count("*").alias("devices"), F.sum("messages").alias("messages"), F.sum("readings").alias("readings"),
+        F.sum("true").alias("true_bursts"), F.sum("flagged").alias("flagged"), F.sum("hits").alias("hits"), F.sum("late").alias("late_messages"), F.sum("again").alias("duplicate_messages"),
+        F.count_if(F.col("true") > 0).alias("devices_true"), F.count_if((F.col("true") > 0) & (F.col("hits") > 0)).alias("devices_hit"),
+    )
+    reason = timestamp_reason(F.col("device_ts_ms"), F.col("arrival_ts_ms"))
+    kinds = {"missing_timestamp_readings": "missing_timestamp", "epoch_default_timestamp_readings": "epoch_default_timestamp", "future_timestamp_readings": "future_timestamp"}
+    clocks = readings.withColumn("_r", reason).groupBy("firmware_version").agg(*[F.count_if(F.col("_r") == k).alias(name) for name, k in kinds.items()])
+    out = outages.groupBy("firmware_version").agg(F.count("*").alias("outage_events"), F.sum("buffered").alias("outage_readings_buffered"), F.sum("dropped").alias("outage_readings_dropped"))
+    j = g.join(clocks, "firmware_version", "left").join(out, "firmware_version", "left")
+    zero = [*kinds, "outage_events", "outage_readings_buffered", "outage_readings_dropped"]
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+    times = F.lit(1.0)
+    for name, x in quirks.items():
+        times = F.when(firmware == name, x).otherwise(times)
     c = F.col
-    return j.select(*GROUP, "messages", "devices", "true_bursts", "flagged", "hits", ratio(c("hits"), c("true_bursts")).alias("recall"), ratio(c("hits"), c("flagged")).alias("precision"), ratio(c("devices_hit"), c("devices_true")).alias("device_recall"), "readings", "clock_issues", ratio(c("clock_issues"), c("readings")).alias("clock_issue_rate"))
-
-
-def markdown(report: DataFrame) -> str:
-    """A small aggregate as a table in text."""
-    rows = report.orderBy(*report.columns[:2]).collect()
-    text = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
-    return "\n".join([f"| {' | '.join(report.columns)} |", "|" + " --- |" * len(report.columns), *(f"| {' | '.join(text(v) for v in r)} |" for r in rows)]) + "\n"
+    j = j.withColumns({"quirk_multiplier": times, "clock_issues": sum((c(k) for k in list(kinds)[1:]), c(list(kinds)[0]))})
+    return j.withColumns({
+        "post_outage_burst_messages": c("true_bursts"), "expected_outage_probability": F.round(F.least(F.lit(MOST_OUTAGES), outage * c("quirk_multiplier")), 6), "expected_drop_rate": F.round(F.least(F.lit(MOST_DROPS), drop * c("quirk_multiplier")), 6),
+        "recall": ratio(c("hits"), c("true_bursts")), "precision": ratio(c("hits"), c("flagged")), "device_recall": ratio(c("devices_hit"), c("devices_true")),
+        "drop_rate": ratio(c("outage_readings_dropped"), c("outage_readings_buffered") + c("outage_readings_dropped")), "outage_rate": ratio(c("outage_events"), c("devices")), "clock_issue_rate": ratio(c("clock_issues"), c("readings")),
+    })

@@ -115,3 +115,18 @@ def device_hours(rows: DataFrame) -> DataFrame:
 def dirty_hours(inserted: DataFrame, store_before: DataFrame) -> DataFrame:
     """Hours that the merge added to and that had rows before it."""
     return device_hours(inserted).join(device_hours(store_before), ["device_id", "event_hour"], "left_semi")
+
+
+class ReconciliationError(RuntimeError):
+    pass
+
+
+def reconcile(seen: DataFrame, *outcomes: DataFrame, of: str = "rows") -> dict[str, int]:
+    """Counts what went in and what came out on each way, each on its own; raises unless they add up.
+
+    ``of``: rows, or a column whose distinct values count (message_id for messages that become several rows)."""
+    count = lambda frame: frame.count() if of == "rows" else frame.select(of).distinct().count()
+    counts = {"seen": count(seen)} | {f"outcome_{k}": count(frame) for k, frame in enumerate(outcomes)}
+    if counts["seen"] != sum(v for k, v in counts.items() if k != "seen"):
+        raise ReconciliationError(str(counts))
+    return counts

@@ -2,31 +2,73 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_hour, half_even, strict_cast
-from ..model import DEFAULTS, IDENTITY, Signal, Thresholds
+from ..model import CABINET, CABINET_READING, DEFAULTS, IDENTITY, STALL, STALL_READING, Signal, Thresholds
 
 
 def canonicalize(rows: DataFrame, signals: list[Signal]) -> DataFrame:
-    """rows of one class and firmware, raw fields as text -> identity, canonical columns, units, dropped_fields, errors.
+    """rows of one class and firmware -> identity, canonical columns, units, dropped_fields, errors.
 
     Uncataloged fields are dropped and listed; a present null or a refused cast is an error of the row."""
-    known = {s.raw: s for s in signals}
+    known, types = {s.raw: s for s in signals}, dict(rows.dtypes)
     raw = [c for c in rows.columns if c not in IDENTITY]
     errors, cols = [], []
     for name in raw:
         if (s := known.get(name)) is None:
             continue
-        cast = strict_cast(F.col(name).cast("string"), s.type)
+        cast = strict_cast(F.col(name), s.type, types[name])
         errors.append(F.when(cast.isNull(), F.lit(name)))
         cols.append(cast.alias(s.canonical))
-    here = [known[n] for n in raw if n in known and known[n].unit]
-    units = F.create_map(*[x for s in here for x in (F.lit(s.canonical), F.lit(s.unit))]) if here else F.create_map().cast("map<string,string>")
     dropped = F.array(*[F.lit(n) for n in raw if n not in known]).cast("array<string>")
-    return rows.select(*[F.col(c) for c in IDENTITY if c in rows.columns], *cols, units.alias("units"), dropped.alias("dropped_fields"), F.array_compact(F.array(*errors)).cast("array<string>").alias("errors"))
+    return rows.select(*[F.col(c) for c in IDENTITY if c in rows.columns], *cols, _units([known[n] for n in raw if n in known]).alias("units"), dropped.alias("dropped_fields"), F.array_compact(F.array(*errors)).cast("array<string>").alias("errors"))
+
+
+def _units(signals: list[Signal]) -> Column:
+    pairs = [x for s in signals if s.unit for x in (F.lit(s.canonical), F.lit(s.unit))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+
+#: The raw fields that a reading of each class has, null or not.
+PRESENT = {c: frozenset(f.split()[0] for f in schema.split(", ")) for c, schema in ((STALL, STALL_READING), (CABINET, CABINET_READING))}
+
+
+def canonicalize_mixed(rows: DataFrame, catalog: dict[tuple[str, str], list[Signal]], keep: tuple[str, ...] = (), present: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """Rows of any class and firmware in one pass: each by the entries of its own pair, in the columns of all.
+
+    ``keep``: columns that are no fields and stay as they are. A field is present in a row if its class has it
+    (``present``) or it isn't null; fields of a pair that the catalog lacks are all dropped, and the row has no error."""
+    present = PRESENT if present is None else present
+    types = dict(rows.dtypes)
+    raw = [c for c in rows.columns if c not in IDENTITY and c not in keep]
+    groups: dict[tuple[Signal, ...], list[tuple[str, str]]] = {}
+    for pair, signals in catalog.items():
+        groups.setdefault(tuple(signals), []).append(pair)
+    pair = F.struct(F.col("device_class").alias("c"), F.col("firmware_version").alias("f"))
+    of = [F.coalesce(pair.isin(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in pairs]), F.lit(False)) for pairs in groups.values()]
+    values: dict[str, list[Column]] = {}
+    errors, dropped, units = [], [], F.create_map().cast("map<string,string>")
+    for name in raw:
+        classes = [c for c, names in present.items() if name in names]
+        here = F.coalesce(F.col("device_class").isin(*classes), F.lit(False)) | F.col(name).isNotNull() if classes else F.col(name).isNotNull()
+        known = F.lit(False)
+        for mine, signals in zip(of, groups, strict=True):
+            for s in signals:
+                if s.raw == name:
+                    cast = F.when(mine, strict_cast(F.col(name), s.type, types[name]))
+                    values.setdefault(s.canonical, []).append(cast)
+                    errors.append(F.when(mine & here & cast.isNull(), F.lit(name)))
+                    known = known | mine
+        dropped.append(F.when(here & ~known, F.lit(name)))
+    for mine, signals in zip(of, groups, strict=True):
+        units = F.when(mine, _units([s for s in signals if s.raw in raw])).otherwise(units)
+    names = lambda x: F.array_compact(F.array(*x)).cast("array<string>") if x else F.array().cast("array<string>")
+    return rows.select(*[F.col(c) for c in (*IDENTITY, *keep) if c in rows.columns], *[F.coalesce(*v).alias(c) for c, v in values.items()], units.alias("units"), names(dropped).alias("dropped_fields"), names(errors).alias("errors"))
 
 
 def split_failed(canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +102,8 @@ def _flag(kind: str, field: str, when: Column, detail: Column) -> Column:
 def range_flag(s: Signal) -> Column:
     v = F.col(s.canonical)
     out = (v < s.low if s.low is not None else F.lit(False)) | (v > s.high if s.high is not None else F.lit(False))
-    return _flag("range", s.canonical, out & ~F.isnan(v.cast("double")), v)
+    detail = F.format_string("%s outside [%s, %s]", v.cast("string"), F.lit("-" if s.low is None else f"{s.low:g}"), F.lit("-" if s.high is None else f"{s.high:g}"))
+    return _flag("range", s.canonical, out & ~F.isnan(v.cast("double")), detail)
 
 
 def flag_rows(rows: DataFrame, signals: list[Signal], order: list[str], limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -107,7 +150,45 @@ def rows_of_hours(rows: DataFrame, dirty: DataFrame) -> DataFrame:
     return rows.withColumn("event_hour", event_hour(F.col("device_ts_ms"))).join(dirty, ["device_id", "event_hour"], "left_semi")
 
 
-def recompute_summary(dirty: DataFrame, rows: DataFrame) -> DataFrame:
-    """device_id, event_hour, n_rows of every dirty key; keys without rows count too."""
-    counts = rows_of_hours(rows, dirty).groupBy("device_id", "event_hour").agg(F.count("*").alias("n"))
-    return dirty.join(counts, ["device_id", "event_hour"], "left").select("device_id", "event_hour", F.coalesce("n", F.lit(0)).alias("n_rows"))
+@dataclass(frozen=True)
+class Recompute:
+    """What a recompute of dirty device-hours gives: canonical rows (with event_hour), rows with errors, and of every
+    dirty key, also those without rows, rows_seen, rows_recomputed and rows_failed."""
+
+    rows: DataFrame
+    failed: DataFrame
+    per_key: DataFrame
+
+
+def recompute(rows: DataFrame, dirty: DataFrame, catalog: dict[tuple[str, str], list[Signal]], keep: tuple[str, ...] = (), present: dict[str, frozenset[str]] | None = None) -> Recompute:
+    """All stored rows of each dirty hour canonicalised anew; a refused cast fails its row alone."""
+    hour = ["device_id", "event_hour"]
+    canonical = canonicalize_mixed(rows_of_hours(rows, dirty), catalog, (*keep, "event_hour"), present)
+    ok, failed = split_failed(canonical)
+    good = F.size("errors") == 0
+    counts = canonical.groupBy(*hour).agg(F.count("*").alias("rows_seen"), F.count_if(good).alias("rows_recomputed"), F.count_if(~good).alias("rows_failed"))
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("rows_seen", "rows_recomputed", "rows_failed")}
+    return Recompute(ok, failed, dirty.select(*hour).join(counts, hour, "left").withColumns(none))
+
+
+def signals_of_pair(catalog: dict[tuple[str, str], list[Signal]], device_class: str, firmware: str) -> list[Signal]:
+    """The entries of a class and firmware; none where the catalog has no such pair, so nothing can be checked."""
+    return catalog.get((device_class, firmware), [])
+
+
+def flag_mixed(rows: DataFrame, catalog: dict[tuple[str, str], list[Signal]], order: list[str], limits: Thresholds = DEFAULTS) -> DataFrame:
+    """flag_rows over devices of any class and firmware, each by its own entries; as many rows as came.
+
+    Pairs with the same entries share a pass. A device that changes its firmware is taken apart by it, as its
+    signals may differ."""
+    groups: dict[tuple[Signal, ...], list[tuple[str, str]]] = {}
+    for pair, signals in catalog.items():
+        groups.setdefault(tuple(signals), []).append(pair)
+    pair = F.struct(F.col("device_class").alias("c"), F.col("firmware_version").alias("f"))
+    among = lambda pairs: F.coalesce(pair.isin(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in pairs]), F.lit(False))
+    parts = [flag_rows(rows.where(among(pairs)), list(signals), order, limits) for signals, pairs in groups.items()]
+    unknown = rows.where(~among(list(catalog))) if catalog else rows
+    out = unknown.withColumn("flags", F.array().cast("array<struct<kind:string,field:string,detail:string>>"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out

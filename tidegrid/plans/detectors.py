@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stage4 import new_findings
+
 #: Simulated fault codes of a stall.
 MODULE_FAULT, THERMAL, COMMS = 1001, 1042, 2010
 
@@ -42,3 +48,29 @@ def derates(rows: DataFrame, session: list[str], power: str = "output_power_kw",
     })
     found = (F.col("_before") - p >= drop * F.col("_peak")) & (F.col("_spread") <= band * F.col("_peak")) & (F.col("_n") == plateau) & (F.col("_peak") > 0)
     return g.where(found).select(F.lit("derate_v1").alias("rule"), *session, F.col("device_ts_ms").alias("found_ms"), F.col("_before").alias("power_before"), p.alias("power_after"))
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A declared rule. A changed one takes a new version, whose findings are new beside those of the old."""
+
+    name: str
+    version: int
+    find: Callable[[DataFrame], DataFrame]
+    content: tuple[str, ...] = ("device_id", "start_ms", "end_ms")
+
+
+#: What runs by default.
+DECLARED = (Detector("module_fault", 1, module_faults), Detector("thermal_event", 1, thermal_events))
+
+
+def declared(entries: list[dict], rules: dict[str, Callable[[DataFrame], DataFrame]]) -> list[Detector]:
+    """Detectors from a mapping (of a YAML or JSON file): name, version and the rule's name."""
+    return [Detector(e["name"], int(e["version"]), rules[e["rule"]], tuple(e.get("content", Detector.content))) for e in entries]
+
+
+def findings(rows: DataFrame, detectors: tuple[Detector, ...] | list[Detector] = DECLARED, stored: DataFrame | None = None) -> DataFrame:
+    """What the detectors find and ``stored`` lacks: detector, detector_version, the content and finding_id (its hash). To be appended."""
+    found = [d.find(rows).select(F.lit(d.name).alias("detector"), F.lit(d.version).alias("detector_version"), *d.content) for d in detectors]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    return new_findings(every, stored, every.columns)

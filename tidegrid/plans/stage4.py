@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR_MS, event_hour, ratio
 from ..model import DEFAULTS
+from ..operators.quantiles import percentiles
+from ..scratch import materialize, names, remove
 
 
 def freshness(feed: DataFrame, ts: str, now_ms: int) -> DataFrame:
@@ -34,8 +38,8 @@ def silence_episodes(rows: DataFrame, threshold_ms: int = DEFAULTS.silence_ms, n
     return g.where(until - F.col("device_ts_ms") > threshold_ms).select("device_id", F.col("device_ts_ms").alias("opened_ms"), "closed_ms", F.lit("unknown").alias("cause"))
 
 
-def last_seen(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("device_id").agg(F.max("device_ts_ms").alias("last_seen_ms"))
+def last_seen(rows: DataFrame, by: tuple[str, ...] = ("device_id",)) -> DataFrame:
+    return rows.groupBy(*by).agg(F.max("device_ts_ms").alias("last_seen_ms"))
 
 
 def dropout(last: DataFrame, cohort: str, now_ms: int, threshold_ms: int, correlated_share: float = 0.5) -> DataFrame:
@@ -52,36 +56,52 @@ def new_findings(findings: DataFrame, stored: DataFrame | None, content: list[st
     return fresh if stored is None else fresh.join(stored.select("finding_id"), "finding_id", "left_anti")
 
 
-def session_failures(rows: DataFrame, state: str = "session_state") -> DataFrame:
-    """Device-days whose last reading is a fault that no later reading resolved."""
+def session_failures(rows: DataFrame, state: str = "session_state", session: tuple[str, ...] = ("device_id", "session_id")) -> DataFrame:
+    """Sessions whose last reading is a fault that no later reading resolved. Readings without a session don't count."""
     last = F.max_by(state, F.struct("device_ts_ms", "event_id")).alias("last_state")
-    return rows.groupBy("device_id", F.date_format(F.timestamp_millis("device_ts_ms"), "yyyy-MM-dd").alias("event_day")).agg(last, F.count_if(F.col(state) == "fault").alias("faults")).where("last_state = 'fault'")
+    return rows.where(F.col(session[-1]).isNotNull()).groupBy(*session).agg(last, F.count_if(F.col(state) == "fault").alias("faults")).where("last_state = 'fault'")
 
 
-def finalised(hours: DataFrame, now_ms: int, horizon_ms: int = DEFAULTS.lateness_horizon_ms) -> DataFrame:
-    """hours: device_id, event_hour, hour_end_ms. Version 2 (final) of what is past the horizon, inclusive; 1 otherwise."""
+def hour_status(hours: DataFrame, now_ms: int, horizon_ms: int = DEFAULTS.lateness_horizon_ms) -> DataFrame:
+    """hours: device_id, event_hour, hour_end_ms. final what is past the horizon, inclusive; provisional otherwise."""
     final = F.col("hour_end_ms") + horizon_ms <= now_ms
-    return hours.select("device_id", "event_hour", F.when(final, "final").otherwise("provisional").alias("status"), F.when(final, 2).otherwise(1).cast("long").alias("version"))
+    return hours.select("device_id", "event_hour", F.when(final, "final").otherwise("provisional").alias("status"))
 
 
-def new_versions(state: DataFrame, stored: DataFrame) -> DataFrame:
-    return state.join(stored, ["device_id", "event_hour", "version"], "left_anti")
+def new_versions(state: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """device_id, event_hour, status, version: rows to append, as stored ones stay as they are. Version 1 of what is new, and
+    the next version of a provisional hour that is final now; final ones change no more, so a second run appends nothing."""
+    if stored is None:
+        return state.select("device_id", "event_hour", "status", F.lit(1).cast("long").alias("version"))
+    old = latest_version(stored).withColumnsRenamed({"status": "_status", "version": "_version"})
+    j = state.join(old, ["device_id", "event_hour"], "left")
+    changed = F.col("_status").isNull() | ((F.col("_status") == "provisional") & (F.col("status") == "final"))
+    return j.where(changed).select("device_id", "event_hour", "status", (F.coalesce("_version", F.lit(0)) + 1).cast("long").alias("version"))
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("device_id", "event_hour").agg(F.max_by("status", "version").alias("status"), F.max("version").alias("version"))
 
 
+#: Cohorts up to this number are broadcast to the facts; beyond, both are shuffled by cohort.
+COHORTS = 100_000
+
+
+def _by_cohort(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.join(F.broadcast(stats) if stats.count() <= COHORTS else stats, keys)
+
+
 def cohort_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    med = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
-    dev = rows.join(med.select(*keys, "median"), keys)
-    mad = dev.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
-    return med.join(mad, keys)
+    """The keys, median, n and mad (the median of the distances from the median), exact; no task holds a cohort."""
+    v = F.col(value).cast("double")
+    med = materialize(percentiles(rows.where(F.expr(" and ".join(f"`{k}` is not null" for k in keys))), keys, v, [0.5]).select(*keys, "n", F.col("p")[0].alias("median")), "medians")
+    mad = percentiles(_by_cohort(rows, med.select(*keys, "median"), keys), keys, F.abs(v - F.col("median")), [0.5])
+    return med.join(mad.select(*keys, F.col("p")[0].alias("mad")), keys)
 
 
 def robust_outliers(rows: DataFrame, keys: list[str], value: str, limit: float = 3.5) -> DataFrame:
     z = F.try_divide(0.6745 * (F.col(value) - F.col("median")), F.nullif(F.col("mad"), F.lit(0.0)))
-    return rows.join(cohort_stats(rows, keys, value), keys).withColumn("z", z).where(F.abs("z") > limit)
+    return _by_cohort(rows, materialize(cohort_stats(rows, keys, value), "cohorts"), keys).withColumn("z", z).where(F.abs("z") > limit)
 
 
 def suppressed(rows: DataFrame, fine: list[str], coarse: list[str], entity: str, value: str, floor: int = DEFAULTS.suppression_floor) -> DataFrame:
@@ -97,8 +117,33 @@ def suppressed(rows: DataFrame, fine: list[str], coarse: list[str], entity: str,
     return shown.unionByName(c.select(*shown.columns))
 
 
-def retained(rows: DataFrame, ts: str, now_ms: int, days: int) -> DataFrame:
-    return rows.where(F.col(ts) >= now_ms - days * 24 * HOUR_MS)
+@dataclass(frozen=True)
+class Retention:
+    """How long rows, features and the linkage of a device to its customer are kept."""
+
+    rows_months: int = 13
+    features_months: int = 24
+    linkage_days: int = 90
+
+    def cutoff(self, kind: str, now: Column) -> Column:
+        """The first time that is kept of a kind: rows, features or linkage. now: a timestamp."""
+        if kind == "linkage":
+            return now - F.expr(f"INTERVAL {self.linkage_days} DAYS")
+        return F.add_months(now, -{"rows": self.rows_months, "features": self.features_months}[kind]).cast("timestamp")
+
+
+def retained(rows: DataFrame, ts: str, now_ms: int, kind: str, policy: Retention = Retention()) -> DataFrame:  # noqa: B008
+    """Rows whose time (ms) isn't before the kind's cutoff."""
+    return rows.where(F.timestamp_millis(F.col(ts)) >= policy.cutoff(kind, F.timestamp_millis(F.lit(now_ms))))
+
+
+def drop_expired(spark: SparkSession, root: str, first_kept: str, column: str = "event_date") -> list[str]:
+    """Remove whole partitions of days before ``first_kept`` (yyyy-MM-dd) under a table's root; which ones went."""
+    prefix = f"{column}="
+    gone = [n for n in names(spark, root) if n.startswith(prefix) and n[len(prefix) :] < first_kept]
+    for n in gone:
+        remove(spark, f"{root}/{n}")
+    return gone
 
 
 def mart(features: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,6 +151,13 @@ def mart(features: DataFrame, keys: list[str]) -> DataFrame:
     return features.rollup(*keys).agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("device_days"), F.sum("reading_total").alias("readings"), F.round(F.avg("coverage_ratio"), 6).alias("mean_coverage"))
 
 
+def device_snapshot(rows: DataFrame, order: tuple[str, ...] = ("device_ts_ms", "event_id")) -> DataFrame:
+    """One row a device: its newest reading."""
+    others = [c for c in rows.columns if c != "device_id"]
+    newest = F.max_by(F.struct(*others), F.struct(*order)).alias("v")
+    return rows.groupBy("device_id").agg(newest).select("device_id", "v.*")
+
+
 def survival(lives: DataFrame, cohort: str) -> DataFrame:
     """Kaplan-Meier of (cohort, duration, failed): at_risk, failures and the share that survives each failure time."""
     t = lives.groupBy(cohort, "duration").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"))
@@ -133,9 +185,56 @@ def backtest(findings: DataFrame, cases: DataFrame, horizon_ms: int) -> DataFram
     return g.agg(F.count("*").alias("findings"), F.count("case_ms").alias("hits"), ratio(F.count("case_ms"), F.count("*")).alias("precision"), F.percentile((F.col("case_ms") - F.col("found_ms")) / HOUR_MS, F.lit(0.5)).alias("median_lead_h"))
 
 
-def sessions(rows: DataFrame) -> DataFrame:
-    """Event table of sessions: a device's day from its first to its last reading."""
-    return rows.groupBy("device_id", F.date_format(F.timestamp_millis("device_ts_ms"), "yyyy-MM-dd").alias("session_id")).agg(F.min("device_ts_ms").alias("start_ms"), F.max("device_ts_ms").alias("end_ms"), F.count("*").alias("readings"))
+def sessions(rows: DataFrame, session: tuple[str, ...] = ("device_id", "session_id")) -> DataFrame:
+    """Sessions as the device names them, from their first to their last reading. Readings without a session don't count."""
+    return rows.where(F.col(session[-1]).isNotNull()).groupBy(*session).agg(F.min("device_ts_ms").alias("start_ms"), F.max("device_ts_ms").alias("end_ms"), F.count("*").alias("readings"), F.min("site_id").alias("site_id"))
+
+
+def overlaps(spans: DataFrame, windows: DataFrame, key: str, name: str, width_ms: int = 24 * HOUR_MS) -> DataFrame:
+    """spans (start_ms, end_ms, both inclusive) with ``name``: how many windows (key, window_start, window_end; null end: goes
+    on) of the same key they meet. Both are dealt to the time buckets they touch, and a pair counts in its first one alone."""
+    own = [c for c in spans.columns if c != key]
+    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ms") / width_ms), F.floor(F.col("end_ms") / width_ms))))
+    w = windows.select(F.col(key).alias("_k"), "window_start", "window_end")
+    touched = F.sequence(F.floor(F.col("window_start") / width_ms), F.floor((F.col("window_end") - 1) / width_ms))
+    closed = w.where("window_end > window_start").withColumn("_wb", F.explode(touched))
+    meets = (F.col("window_start") <= F.col("end_ms")) & (F.col("window_end") > F.col("start_ms"))
+    first = F.col("_b") == F.floor(F.greatest("start_ms", "window_start") / width_ms)
+    pairs = s.join(closed, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_wb")) & meets & first).select(key, *own)
+    open_ = spans.join(w.where("window_end is null"), (F.col(key) == F.col("_k")) & (F.col("window_start") <= F.col("end_ms"))).select(key, *own)
+    counts = pairs.unionByName(open_).groupBy(key, *own).agg(F.count("*").alias("_n"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (key, *own)]
+    return spans.alias("s").join(counts.alias("c"), same, "left").select(*[F.col(f"s.{c}") for c in spans.columns], F.coalesce("c._n", F.lit(0)).alias(name))
+
+
+def event_table(rows: DataFrame, dispatch: DataFrame, outages: DataFrame) -> DataFrame:
+    """Sessions with the dispatch windows of their device and the outages of their site that they meet."""
+    return overlaps(overlaps(sessions(rows), dispatch, "device_id", "dispatches"), outages, "site_id", "outages")
+
+
+def load_daily(feed: DataFrame, ts: str, path: str, day: str) -> int:
+    """One day of a feed into its partition; loading it again replaces the day. How many rows it has."""
+    rows = feed.where(F.date_format(F.timestamp_millis(F.col(ts)), "yyyy-MM-dd") == day)
+    rows.write.mode("overwrite").parquet(f"{path}/load_date={day}")
+    return feed.sparkSession.read.schema(rows.schema).parquet(f"{path}/load_date={day}").count()
+
+
+def with_climate(history: DataFrame, climates: DataFrame, site: str = "site_id") -> DataFrame:
+    """The device history with its site's climate, null where none is known: a placeholder by site."""
+    return history.join(climates.select(site, "climate"), site, "left")
+
+
+def tier(arrival: Column, now_ms: int, hot_days: int = 30) -> Column:
+    """hot for what arrived within the last days, else cold."""
+    return F.when(arrival >= now_ms - hot_days * 24 * HOUR_MS, "hot").otherwise("cold")
+
+
+def compact_cold(landed: DataFrame, to: str, now_ms: int, hot_days: int = 30, partitions: tuple[str, ...] = ("arrival_date", "hour")) -> DataFrame:
+    """Rewrites what has left the hot tier to another prefix; the table of hot rows as landed and cold ones as rewritten."""
+    kind = tier(F.col("arrival_ts_ms"), now_ms, hot_days)
+    compact(landed.where(kind == "cold"), to, list(partitions))
+    cold = landed.sparkSession.read.schema(landed.schema).parquet(to)
+    return landed.where(kind == "hot").unionByName(cold)
 
 
 def compact(rows: DataFrame, to: str, partitions: list[str]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -42,3 +43,35 @@ def discard(*frames: DataFrame) -> None:
             folder = p.getParent()
             if folder.getParent().getName() == "tidegrid":
                 fs.delete(folder, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, in order; nothing if there is no such folder."""
+    p, fs = file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def put_json(spark: SparkSession, path: str, value: object) -> None:
+    """A small file, there whole or not at all: it is written under another name, then renamed."""
+    p, fs = file_system(spark, path)
+    draft = p.getParent().suffix(f"-draft-{uuid.uuid4().hex}")  # beside the folder, so listings of it don't meet drafts
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    out.close()
+    fs.mkdirs(p.getParent())
+    fs.delete(p, False)
+    fs.rename(draft, p)
+
+
+def get_json(spark: SparkSession, path: str) -> dict:
+    p, fs = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()

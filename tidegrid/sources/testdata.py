@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.profile import message_size
+
 CLASS = "CASE WHEN user_id % 5 < 3 THEN 'stall' ELSE 'cabinet' END"
 FIRMWARE = "CASE user_id % 5 WHEN 0 THEN '2.1.4' WHEN 1 THEN '2.3.0' WHEN 2 THEN '3.0.1' WHEN 3 THEN '1.8.2' ELSE '1.9.0' END"
 STATE = "CASE event_type WHEN 'signup' THEN 'plugged_in' WHEN 'error' THEN 'fault' WHEN 'purchase' THEN 'session_complete' ELSE 'charging' END"
@@ -39,9 +41,22 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(r: DataFrame) -> DataFrame:
-    """One row a message: the profilers' input."""
+    """One row a message: the profilers' input, with its text (raw), the text's size, and what was injected."""
     protocol = F.when(F.col("device_class") == "stall", "mqtt_batch").otherwise("https_poll")
-    return r.groupBy("message_id", "device_id", "device_class", "firmware_version", "site_id", "arrival_ts_ms").agg(F.count("*").alias("n_readings"), F.sum(F.length("payload_hash") + F.lit(100)).alias("n_bytes")).withColumn("protocol", protocol)
+    reading = F.concat(F.lit('{"device_ts_ms":'), F.coalesce(F.col("device_ts_ms").cast("string"), F.lit("null")), F.lit(',"payload_hash":"'), F.col("payload_hash"), F.lit('"}'))
+    head = F.concat(F.lit('{"arrival_ts_ms":'), F.col("arrival_ts_ms").cast("string"), F.lit(',"device_id":"'), F.col("device_id"), F.lit('","message_id":"'), F.col("message_id"), F.lit('","readings":['))
+    m = r.groupBy("message_id", "device_id", "device_class", "firmware_version", "site_id", "arrival_ts_ms").agg(F.count("*").alias("n_readings"), F.sort_array(F.collect_list(reading)).alias("texts"))
+    true = F.ascii(F.right(F.replace("message_id", F.lit("-retry"), F.lit("")), F.lit(1))) % 4 == 0
+    again = F.col("message_id").endswith("-retry")
+    issues = F.array_compact(F.array(F.when(true, F.lit("post_outage_burst")), F.when(~true & (F.col("arrival_ts_ms") % 7 == 0), F.lit("late_arrival")), F.when(again, F.concat(F.lit("duplicate_of:"), F.replace("message_id", F.lit("-retry"), F.lit(""))))))
+    m = m.withColumns({"raw": F.concat(head, F.array_join("texts", ","), F.lit("]}")), "protocol": protocol, "issues": issues})
+    return m.withColumn("n_bytes", message_size(F.col("raw"))).drop("texts")
+
+
+def outage_counts(r: DataFrame) -> DataFrame:
+    """A row for each made-up outage of a device: its firmware, and the readings held back and dropped."""
+    d = r.select("user_id", "firmware_version").distinct().where("user_id % 4 = 0")
+    return d.select("firmware_version", (F.col("user_id") % 50).cast("long").alias("buffered"), (F.col("user_id") % 7).cast("long").alias("dropped"))
 
 
 def envelopes(r: DataFrame) -> DataFrame:
@@ -66,7 +81,8 @@ again AS (SELECT * REPLACE (message_id || '-retry' AS message_id, arrival_ts_ms
 part AS (SELECT * FROM again WHERE (user_id + dom) % 41 = 0 AND is_first),
 readings AS (SELECT * FROM r0 UNION ALL SELECT * FROM again WHERE (user_id + dom) % 40 = 0 UNION ALL SELECT * FROM part
         UNION ALL SELECT * REPLACE ('made-' || payload_hash AS payload_hash) FROM part),
-messages AS (SELECT message_id, device_id, device_class, firmware_version, site_id, arrival_ts_ms, count(*) AS n_readings, CAST(sum(length(payload_hash) + 100) AS BIGINT) AS n_bytes,
+messages AS (SELECT message_id, device_id, device_class, firmware_version, site_id, arrival_ts_ms, count(*) AS n_readings,
+        strlen('{{"arrival_ts_ms":' || arrival_ts_ms || ',"device_id":"' || device_id || '","message_id":"' || message_id || '","readings":[' || string_agg('{{"device_ts_ms":' || coalesce(CAST(device_ts_ms AS VARCHAR), 'null') || ',"payload_hash":"' || payload_hash || '"}}', ',') || ']}}') AS n_bytes,
         CASE WHEN device_class = 'stall' THEN 'mqtt_batch' ELSE 'https_poll' END AS protocol FROM readings GROUP BY 1, 2, 3, 4, 5, 6),
 judged AS (SELECT *, CASE WHEN device_ts_ms IS NULL THEN 'missing_timestamp' WHEN device_ts_ms = 0 THEN 'epoch_default_timestamp' WHEN device_ts_ms - arrival_ts_ms > 21600000 THEN 'future_timestamp' END AS reason FROM readings),
 good AS (SELECT * FROM judged WHERE reason IS NULL),
