@@ -262,8 +262,9 @@ def test_backfill_of_three_days(spark, tmp_path):
     start, half = 10 * H, H // 2
     known = [(d, start - k * half, f"k{k}") for d in "ab" for k in range(1, 5)] + [(d, start + 72 * H + k * half, f"l{k}") for d in "ab" for k in range(1, 5)]
     known += [("a", start + 60_000, "first"), ("b", start + 72 * H - 60_000, "last")]  # the hours in which one went and the other came back
-    store.merge(0, rows(spark, known), ["message_id"])
-    held = rows(spark, [(d, start + k * half, f"h{k}") for d in "ab" for k in range(144)])
+    sent = lambda x: rows(spark, x).withColumn("firmware_version", F.lit("2.1.4"))
+    store.merge(0, sent(known), ["message_id"])
+    held = sent([(d, start + k * half, f"h{k}") for d in "ab" for k in range(144)])
     assert store.merge(1, held, ["message_id"]) == {"seen": 288, "inserted": 288, "present": 0}
     dirty, upto = store.dirty("stage2")
     assert {tuple(r) for r in dirty.collect()} == {("a", "1970-01-01T10"), ("b", "1970-01-04T09")}

@@ -25,10 +25,9 @@ def write_envelopes(messages: DataFrame, root: str, about: dict | None = None) -
     """JSON lines under <root>/<class>/<firmware>/, and manifest.json: ``about``, and of each group its messages, readings
     and injected issues by kind. messages: as parse_raw returns them."""
     issues = F.from_json("raw", "_debug_injected_issues array<string>")["_debug_injected_issues"]
-    kind = F.split(F.explode_outer(F.when(F.size(issues) > 0, issues)), ":")[0]
     group = ["device_class", "firmware_version"]
     counts = messages.groupBy(*group).agg(F.count("*").alias("messages"), F.sum(F.size("readings")).alias("readings")).collect()  # a row a class and firmware
-    found = messages.select(*group, kind.alias("kind")).where("kind is not null").groupBy(*group, "kind").count().collect()
+    found = messages.select(*group, F.explode(issues).alias("issue")).groupBy(*group, F.split("issue", ":")[0].alias("kind")).count().collect()
     groups = {f"{r.device_class}/{r.firmware_version}": {"messages": r.messages, "readings": r.readings} for r in counts}
     for r in found:
         groups[f"{r.device_class}/{r.firmware_version}"][r.kind] = r["count"]
