@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, stats
-from ..model import DEFAULTS, NATURAL_KEY, Thresholds
+from ..model import DEFAULTS, MOST_DROPS, MOST_OUTAGES, NATURAL_KEY, QUIRKS, Thresholds
 from ..scratch import materialize
 from .quantiles import percentiles
 from .stage1 import timestamp_reason
@@ -135,11 +135,6 @@ def burst_groups(messages: DataFrame, events: DataFrame) -> DataFrame:
     return devices.join(hits, list(GROUP), "left").select(*GROUP, "devices", F.coalesce("d", F.lit(0)).alias("devices_with_bursts"), F.coalesce("e", F.lit(0)).alias("burst_events"))
 
 
-#: How much more often than usual a firmware's devices lose touch, and the most that is expected of any.
-QUIRKS = {"2.1.4": 2.5, "2.3.0": 1.3, "3.0.1": 0.5, "1.8.2": 2.5, "1.9.0": 1.3}
-MOST_OUTAGES, MOST_DROPS = 0.95, 0.9
-
-
 def firmware_metrics(messages: DataFrame, readings: DataFrame, events: DataFrame, outages: DataFrame, outage: float = 0.25, drop: float = 0.1, quirks: dict[str, float] | None = None) -> DataFrame:
     """By firmware: what was injected, and how well the burst detector does against it; shares are null where nothing divides.
 

@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, HOUR_MS, payload_hash
-from ..model import CABINET, STALL
+from ..model import CABINET, CATALOG, QUIRKS, STALL
 
-#: Firmware of each class, and how much more (or less) than usual it loses touch.
-FIRMWARE = {STALL: {"2.1.4": 2.5, "2.3.0": 1.3, "3.0.1": 0.5}, CABINET: {"1.8.2": 2.5, "1.9.0": 1.3}}
+#: Firmware of each class, and how much more (or less) than usual it loses touch.
+FIRMWARE = {c: {v: QUIRKS[v] for k, v in CATALOG if k == c} for c in (STALL, CABINET)}
+#: Time between readings, and rows of the feeds.
 CADENCE_MS = {STALL: 15_000, CABINET: 60_000}
 FEEDS = {"rma": 150, "tickets": 200, "dispatch": 120, "outage": 80}
 
 
 @dataclass(frozen=True)
 class Config:
+    """Counts, rates and times of the default corpus."""
+
     seed: int = 1337
     devices_per_firmware: int = 4
     sessions: int = 3
