@@ -27,10 +27,10 @@ from .common import columns, discard, materialize
 #: A group of copies above this part of a shard's bytes may be torn where a median falls into it.
 HEAVY = 0.02
 #: A dimension is DIGITS base-BINS digits: so many passes find a median.
-BITS, DIGITS = 17, 3
+BITS, DIGITS = 13, 4
 BINS = 1 << BITS
 #: Bits of a dimension's value, of the group's tie-break and of the row's.
-VALUE, OF_GROUP, OF_ROW = 20, 21, 10
+VALUE, OF_GROUP, OF_ROW = 20, 21, 11
 #: Rows of a chunk within which slots are numbered, about.
 CHUNK = 20_000
 DIMENSIONS = ("by_size", "by_source", "by_lang", "by_hash")
@@ -90,7 +90,8 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
                     after.append((f, size))
                 sides.append(len(after) - 1 if size > 1 else -1 - f)
             plan.append((k, s // 2 / s, *sides))
-        plan = each.sparkSession.createDataFrame(plan, "node int, share double, below int, above int")
+        values = ", ".join(f"({k}, {share!r}D, {below}, {above})" for k, share, below, above in plan)
+        plan = each.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(node, share, below, above)")
         widest = materialize(_widest(each, plan), "widest")
         if not root:
             root = [max(1, r.spread) for r in widest.orderBy("d").collect()]  # a row a dimension
