@@ -5,8 +5,8 @@ composed by an associative scan (blocks in parallel, then the blocks' functions,
 state), so no regular expression runs. The slices between boundaries go through cached pair merging. Each token keeps
 its byte offset, and decoding places the tokens' bytes at those offsets.
 
-A null text is an empty one and has no tokens. Bytes that aren't UTF-8 count as U+FFFD. Repeated rows give repeated
-results; an empty table gives an empty one; other columns are ignored.
+A null text is an empty one and has no tokens. Bytes that aren't UTF-8 count as U+FFFD. Very long texts are encoded whole,
+one at a time. Repeated rows give repeated results; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ of them needs (planes of whole bytes, then single bits), and a list of exception
 Shards follow ascending doc_id; a document is never split between the files of a shard.
 
 A null text is an empty one and has just the end id. Null doc_ids come first. Ties of doc_id are ordered by the text's
-hash; repeated rows are rows like others. An empty table gives no shards and an empty result. Other columns are
-ignored.
+hash; repeated rows are rows like others. A very long text is encoded whole and lies in one file, however large. An
+empty table gives no shards and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
