@@ -351,6 +351,19 @@ def test_intervals_by_bucket(spark):
         assert got[r.number] == sum(1 for q, _, s, e in spans if q == "a" and s <= r.end_ms and (e is None or e > r.start_ms and e > s))
 
 
+def test_overlaps_are_counted_without_pairs(spark):
+    # equal spans count each for itself; what has no key or no time, or ends before it starts, meets none
+    spans = spark.createDataFrame([("a", 10, 20)] * 3 + [("a", 21, 21), ("b", 0, 99), (None, 0, 99), ("a", None, 20), ("a", 10, None), ("a", 20, 10)], "site_id string, start_ms long, end_ms long")
+    windows = spark.createDataFrame([("a", 20, 21), ("a", 0, 10), ("a", 0, 11), ("a", 21, None), ("a", 15, 15), ("a", None, 15), ("a", None, None), (None, 0, None)], "site_id string, window_start long, window_end long")
+    got = Counter(tuple(r) for r in stage4.overlaps(spans, windows, "site_id", "met", width_ms=7).collect())
+    assert got == Counter([("a", 10, 20, 2)] * 3 + [("a", 21, 21, 1), ("b", 0, 99, 0), (None, 0, 99, 0), ("a", None, 20, 0), ("a", 10, None, 0), ("a", 20, 10, 0)])
+    # 10^10 pairs of one key
+    n = 100_000
+    many = spark.range(n).selectExpr("'a' as site_id", "id as start_ms", f"id + {n} as end_ms")
+    met = stage4.overlaps(many, many.selectExpr("site_id", "start_ms as window_start", "end_ms as window_end"), "site_id", "met", width_ms=n // 10)
+    assert met.where(f"met = {n}").count() == n
+
+
 def test_flags_of_mixed_devices(spark):
     df = spark.createDataFrame([(d, c, f, i, i * 1000, 450.0, 500.0) for d, c, f in (("a", STALL, "2.1.4"), ("b", "cabinet", "1.8.2"), ("c", STALL, "none")) for i in range(3)], "device_id string, device_class string, firmware_version string, event_id int, device_ts_ms long, output_voltage_v double, grid_voltage_v double")
     got = stage2.flag_mixed(df, CATALOG, ["device_ts_ms"]).collect()

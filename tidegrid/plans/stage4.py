@@ -192,19 +192,25 @@ def sessions(rows: DataFrame, session: tuple[str, ...] = ("device_id", "session_
 
 def overlaps(spans: DataFrame, windows: DataFrame, key: str, name: str, width_ms: int = 24 * HOUR_MS) -> DataFrame:
     """spans (start_ms, end_ms, both inclusive) with ``name``: how many windows (key, window_start, window_end; null end: goes
-    on) of the same key they meet. Both are dealt to the time buckets they touch, and a pair counts in its first one alone."""
-    own = [c for c in spans.columns if c != key]
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ms") / width_ms), F.floor(F.col("end_ms") / width_ms))))
-    w = windows.select(F.col(key).alias("_k"), "window_start", "window_end")
-    touched = F.sequence(F.floor(F.col("window_start") / width_ms), F.floor((F.col("window_end") - 1) / width_ms))
-    closed = w.where("window_end > window_start").withColumn("_wb", F.explode(touched))
-    meets = (F.col("window_start") <= F.col("end_ms")) & (F.col("window_end") > F.col("start_ms"))
-    first = F.col("_b") == F.floor(F.greatest("start_ms", "window_start") / width_ms)
-    pairs = s.join(closed, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_wb")) & meets & first).select(key, *own)
-    open_ = spans.join(w.where("window_end is null"), (F.col(key) == F.col("_k")) & (F.col("window_start") <= F.col("end_ms"))).select(key, *own)
-    counts = pairs.unionByName(open_).groupBy(key, *own).agg(F.count("*").alias("_n"))
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (key, *own)]
-    return spans.alias("s").join(counts.alias("c"), same, "left").select(*[F.col(f"s.{c}") for c in spans.columns], F.coalesce("c._n", F.lit(0)).alias(name))
+    on) of the same key they meet: those that begin by the span's end, less those that end by its start. Both are running
+    counts within a time bucket, on top of all earlier buckets, so pairs are never made and no task holds a key. Each span
+    counts for itself; one without a key or a time, or that ends before it starts, meets none."""
+    s = materialize(spans.withColumn("_id", F.monotonically_increasing_id()), "spans")
+    w = windows.where("window_end is null or window_end > window_start")
+
+    def points(rows: DataFrame, begin: str, end: str, span: Column, n: int) -> DataFrame:
+        both = F.array(F.struct(F.col(begin).alias("_t"), F.lit(1).alias("_sign")), F.struct(F.col(end).alias("_t"), F.lit(-1).alias("_sign")))
+        return rows.select(F.col(key).alias("_k"), span.alias("_span"), F.lit(n).alias("_n"), F.inline(both)).where("_k is not null and _t is not null")
+
+    asked = points(s, "end_ms", "start_ms", F.col("_id"), 0)
+    every = asked.unionByName(points(w, "window_start", "window_end", F.lit(None).cast("long"), 1)).withColumn("_b", F.floor(F.col("_t") / width_ms))
+    at = ["_k", "_sign", "_b"]
+    earlier = W.partitionBy("_k", "_sign").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = every.groupBy(*at).agg(F.sum("_n").alias("_m")).select(*at, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
+    within = F.sum("_n").over(W.partitionBy(*at).orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow))
+    counts = every.withColumn("_within", within).where("_span is not null").join(before, at).groupBy("_span").agg(F.sum(F.col("_sign") * (F.col("_before") + F.col("_within"))).alias("_met"))
+    met = F.when(F.col("start_ms") <= F.col("end_ms"), F.coalesce("_met", F.lit(0))).otherwise(0)
+    return s.join(counts, F.col("_id") == F.col("_span"), "left").select(*spans.columns, met.alias(name))
 
 
 def event_table(rows: DataFrame, dispatch: DataFrame, outages: DataFrame) -> DataFrame:
