@@ -39,3 +39,19 @@ def test_query(spark, duck, name):
     place = [want.columns.index(c) for c in cols]
     expected = Counter(tuple(plain(r[i]) for i in place) for r in want.fetchall())
     assert got == expected
+
+
+#: Queries whose SQL leaves ties open: repeated readings of one event differ in payload_hash alone.
+OPEN_TIES = ("x7_declared_detectors",)
+
+
+@pytest.mark.parametrize("name", OPEN_TIES)
+def test_query_where_sql_leaves_ties_open(spark, name):
+    """At sf0.1 the SQL's two orders break ties each in its own way, and its rows vary; with the ties closed they are the query's."""
+    sf, order = "/root/testdata/sf0.1", "ORDER BY device_ts_ms, event_id"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert ORACLE_SQL[name].count(f"{order})") == 2
+    want = con.sql(ORACLE_SQL[name].replace(f"{order})", f"{order}, payload_hash)"))
+    got = QUERIES[name](spark, sf).select(*want.columns).collect()
+    assert Counter(tuple(r) for r in got) == Counter(want.fetchall())
