@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import struct
 import unicodedata
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from tokenizers import Tokenizer
 
 from tidegrid.llm import ann, bpe, langid, licenses, mixing, near_dedup, sharding, tiff, token_counts, tokenfiles
 from tidegrid.llm import queries as q
+from tidegrid.llm.common import utf8
 
 from .conftest import BASE, SCHEMA, SF, row
 

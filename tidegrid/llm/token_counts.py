@@ -114,9 +114,7 @@ def counted(docs: DataFrame, byte_bpe: str, word_bpe: str) -> DataFrame:
         for batch in slices(batches, "text"):
             raw, offsets = bpe.valid_utf8(*utf8(batch.column("text"))[::-1])
             _, upto = vocab.encode(raw, offsets)
-            data = raw.tobytes()
-            each = words.encode([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-            counts = [np.diff(offsets), np.diff(upto), np.array([len(x) // 4 for x in each], np.int64)]
+            counts = [np.diff(offsets), np.diff(upto), np.diff(words.encode(raw, offsets)[1])]
             kept = [batch.column(c) for c in ("doc_id", "source", "lang", "text_md5")]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", "source", "lang", "text_md5", "n_bytes", BYTE, WORD])
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, slices
+from .common import columns, slices, utf8
 
 BLOCK = 128
 PERCENTILE = 90
@@ -34,6 +34,8 @@ MAGIC = b"PFR1"
 HEAD = 6  # of a block: minimum (4 bytes), width, exceptions
 #: Ids of a file, about.
 FILE_IDS = 1 << 18
+#: Bytes of text that are encoded at once, about.
+BATCH_BYTES = 1 << 22
 
 
 def _pack_width(values: np.ndarray, w: int) -> np.ndarray:
@@ -127,66 +129,160 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return (rest + low[:, None]).reshape(-1)[: n - first * BLOCK]
 
 
-#: Before such a mark, after a letter or digit, the tokenizer's own split always cuts.
-MARK = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,!?;:])")
+#: Classes of bytes: white space, letters (also those of two bytes from U+00C0), digits, marks, the apostrophe, all else.
+SPACE, LETTER, DIGIT, OTHER_MARK, APOSTROPHE, OTHER = range(6)
+CLASSES = bytes(
+    OTHER if c > 127 else SPACE if c in b" \t\n\r\v\f" else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else APOSTROPHE if c == 39 else OTHER_MARK
+    for c in range(256)
+)
+#: Where the tokenizer's own split always cuts: around each digit, at the end of letters, and where letters follow marks,
+#: but for an apostrophe, as that may begin one of its endings ('s, 're). By 8 times the class before plus the class after.
+CUTS = bytes((c >> 3, c & 7) in {(LETTER, DIGIT), (LETTER, OTHER_MARK), (LETTER, APOSTROPHE), (DIGIT, LETTER), (DIGIT, DIGIT), (DIGIT, OTHER_MARK), (DIGIT, APOSTROPHE), (OTHER_MARK, LETTER), (OTHER_MARK, DIGIT), (APOSTROPHE, DIGIT)} for c in range(256))
+#: Words that the normalizer and the splits don't change.
+PLAIN, LATIN = re.compile(rb"[a-z]+"), re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class WordTokenizer:
-    """The tokenizer of a tokenizers file, for one word at a time with a bounded cache of ids (4 bytes each).
+    """The tokenizer of a tokenizers file, for one word at a time with a bounded cache of ids.
 
     It drops white space, never looks across ASCII white space and lower-cases, so the ids of a text are those of its
-    words; marks that end a word are words of their own, and ASCII letters are looked up in lower case. Texts in which a
-    special token may be written are encoded as they are."""
+    words; CUTS say where words end besides, and letters up to U+00FF are looked up in lower case. A batch's words are
+    found, numbered and put together as arrays; only its distinct ones are looked up. Texts in which a special token may
+    be written are encoded as they are, and those with combining marks, which may compose with a capital or a small
+    letter alone, by what lies between white space."""
 
     CACHE = 1_000_000
+    #: Words that the model gets at once.
+    JOINED = 1000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For words of letters a to z the normalizer and the splits change nothing, so the model alone is asked.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = self.bare.pre_tokenizer = None
+        # Words that the normalizer and the splits don't change go to the model alone, many at once.
+        self.plain, self.latin = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = self.latin.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _ids(tokenizer, texts: list[bytes]) -> list[bytes]:
-        got = [x.ids for x in tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        flat = array.array("I", itertools.chain.from_iterable(got)).tobytes()
-        ends = list(itertools.accumulate(map(len, got), initial=0))
-        return [flat[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Of each text its ids, 4 bytes each."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.cache: dict[bytes, int] = {}
+        self.ids, self.upto = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)  # of all words of the cache
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts and how many each has."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.array(array.array("I", itertools.chain.from_iterable(got)), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _joined(self, tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that ``tokenizer`` gets many at once, told apart by the ids that end a word."""
+        lines = [b" ".join(words[k : k + self.JOINED]).decode() for k in range(0, len(words), self.JOINED)]
+        got = tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.array(array.array("I", itertools.chain.from_iterable(x.ids for x in got)), np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return self._whole(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, latin, other = [], [], []
+        for w in new:
+            (plain if PLAIN.fullmatch(w) else latin if LATIN.fullmatch(w) else other).append(w)
+        for words, (ids, counts) in ((plain, self._joined(self.plain, plain)), (latin, self._joined(self.latin, latin)), (other, self._whole(other))):
+            n = len(self.cache)
+            at = int(self.upto[n])
+            if at + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[:at], np.zeros(at + 2 * len(ids), np.uint32)])
+            if n + len(words) + 1 > len(self.upto):
+                self.upto = np.concatenate([self.upto[: n + 1], np.zeros(n + 2 * len(words), np.int64)])
+            self.ids[at : at + len(ids)] = ids
+            self.upto[n + 1 : n + 1 + len(words)] = at + np.cumsum(counts)
+            self.cache.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The places of different words in the cache."""
+        got = list(map(self.cache.get, words))
+        if None in got:
+            self._learn([w for w, k in zip(words, got, strict=True) if k is None])
+            got = list(map(self.cache.__getitem__, words))
+        return np.array(got, np.int64)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their places in the cache, and how many there are before each and in all."""
+        first = self.upto[numbers]
+        counts = self.upto[numbers + 1] - first
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids[np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])], upto
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (their bytes, and where each begins) and how many there are before each and in all."""
         collects = gc.isenabled()
-        gc.disable()  # many small lists, none in a cycle
+        gc.disable()  # many small objects, none in a cycle
         try:
-            return self._encode(texts)
+            if len(self.cache) > self.CACHE:
+                self._forget()
+            odd = self._odd(raw.tobytes(), offsets)
+            if not odd:
+                return self._encode(raw, offsets)
+            parts, at = [], 0
+            for k in sorted(odd):
+                parts += [self._encode(raw[offsets[at] : offsets[k]], offsets[at : k + 1] - offsets[at]), odd[k]]
+                at = k + 1
+            parts.append(self._encode(raw[offsets[at] :], offsets[at:] - offsets[at]))
+            return np.concatenate([ids for ids, _ in parts]), np.cumsum(np.concatenate([[0], *(np.diff(upto) for _, upto in parts)]))
         finally:
             if collects:
                 gc.enable()
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split: list[list[bytes] | None] = []
-        for t in texts:
-            low = t.lower()
-            if any(x in low for x in self.special):
-                split.append(None)
-            elif b"\xcc" in t or b"\xcd" in t:  # combining marks, which may compose with a capital or a small letter alone
-                split.append(t.split())
+    def _odd(self, data: bytes, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """What texts give that may hold special tokens or hold combining marks."""
+        low, found = data.lower(), {}
+        if not (b"\xcc" in data or b"\xcd" in data or any(x in low for x in self.special)):
+            return found
+        for k, (a, b) in enumerate(itertools.pairwise(offsets.tolist())):
+            if any(low.find(x, a, b) >= 0 for x in self.special):
+                ids, upto = self._whole([data[a:b]])[0], None
+            elif data.find(b"\xcc", a, b) >= 0 or data.find(b"\xcd", a, b) >= 0:
+                words = data[a:b].split()
+                place = dict(zip(different := list(dict.fromkeys(words)), self._numbers(different).tolist(), strict=True))
+                ids, upto = self._gather(np.array([place[w] for w in words], np.int64))
             else:
-                split.append(MARK.sub(b" ", low).split())
-        cache = self.cache
-        if len(cache) > self.CACHE:
-            cache.clear()
-        new = set(itertools.chain.from_iterable(w for w in split if w)).difference(cache)
-        plain = [w for w in new if w.isalpha() and w.isascii() and w.islower()]
-        other = list(new.difference(plain))
-        cache.update(zip(plain, self._ids(self.bare, plain), strict=True))
-        cache.update(zip(other, self._ids(self.tokenizer, other), strict=True))
-        return [b"".join(map(cache.__getitem__, words)) if words is not None else self._ids(self.tokenizer, [t])[0] for t, words in zip(texts, split, strict=True)]
+                continue
+            found[k] = ids, np.array([0, len(ids)])
+        return found
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        data = np.frombuffer(bytearray(raw.tobytes().lower()), np.uint8)
+        kind = np.frombuffer(bytearray(data.tobytes().translate(CLASSES)), np.uint8)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        letter = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)  # but for the signs of multiplication and division
+        lead, after = lead[letter], after[letter]
+        kind[lead] = kind[lead + 1] = LETTER
+        data[lead[after < 0x9F] + 1] += 0x20
+        kept = kind != SPACE
+        begins = np.empty(len(data), bool)
+        begins[0] = True
+        begins[1:] = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(CUTS), bool)
+        begins[1:] |= ~kept[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins &= kept
+        places = np.flatnonzero(begins[kept])
+        if not len(places):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        data = data[kept]
+        bounds = np.append(places, len(data))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        ids, upto = self._gather(self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        return ids, upto[np.searchsorted(np.flatnonzero(begins), offsets)]
 
 
 @functools.cache
@@ -202,24 +298,26 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
         tokenizer, shard = word_tokenizer(tokenizer_path), TaskContext.get().partitionId()
         number, before = 0, 0
         names: list[int | None] = []
-        ids: list[bytes] = []
-        end = np.array([end_id], np.uint32).tobytes()
+        ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, before, names, ids
-            every = np.frombuffer(b"".join(ids), np.uint32)
-            row = [[shard], [number], [before], [len(every)], [names], [[len(x) // 4 for x in ids]], [pack(every)]]
+            every = np.concatenate(ids)
+            row = [[shard], [number], [before], [len(every)], [names], [[len(x) for x in ids]], [pack(every)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             number, before, names, ids = number + 1, before + len(every), [], []
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "file", "before", "n_ids", "doc_ids", "n_tokens", "payload"])
 
         held = 0
-        for batch in slices(batches, "text"):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
+        for batch in slices(batches, "text", BATCH_BYTES):
+            offsets, raw = utf8(batch.column("text"))
+            got, upto = tokenizer.encode(raw, offsets)
+            got = np.insert(got, upto[1:], end_id)
+            upto = upto + np.arange(len(upto))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
                 names.append(doc_id)
-                ids.append(got + end)
-                held += len(got) // 4 + 1
+                ids.append(got[a:b])
+                held += b - a
                 if held >= FILE_IDS:
                     yield flush()
                     held = 0
