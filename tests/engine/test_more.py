@@ -26,6 +26,15 @@ def test_fault_episodes(spark):
     assert detectors.module_faults(rows.limit(0)).count() == 0
 
 
+def test_fault_episodes_of_tied_readings(spark):
+    """Readings of one time and event with unlike codes give the same episodes however the rows lie."""
+    rows = [("d", 0, 0, 1001), ("d", 1, 1, 1001), ("d", 1, 1, 0), ("d", 1, 1, 1042), ("d", 2, 2, 1042), ("d", 2, 2, 1042)]
+    for given in (rows, rows[::-1], rows[3:] + rows[:3], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(given, "device_id string, device_ts_ms long, event_id long, stall_fault_code int").coalesce(1)
+        assert [(r.start_ms, r.end_ms, r.readings) for r in detectors.module_faults(df).collect()] == [(0, 1, 2)]
+        assert sorted((r.start_ms, r.end_ms, r.readings) for r in detectors.thermal_events(df).collect()) == [(1, 1, 1), (2, 2, 2)]
+
+
 def test_derates(spark):
     series = {
         "derate": [100, 100, 60, 60, 61, 60, 60],  # a step, then level

@@ -17,11 +17,13 @@ MODULE_FAULT, THERMAL, COMMS = 1001, 1042, 2010
 
 
 def fault_episodes(rows: DataFrame, rule: str, code: int, column: str = "stall_fault_code", order: tuple[str, ...] = ("device_ts_ms", "event_id")) -> DataFrame:
-    """Runs of a device's readings that have the code: rule, device_id, start_ms, end_ms, readings. Null codes end a run."""
-    w = W.partitionBy("device_id").orderBy(*order)
-    has = F.coalesce(F.col(column) == code, F.lit(False))
-    first = has & ~F.coalesce(F.lag(has).over(w), F.lit(False))
-    runs = rows.select("device_id", *order, has.alias("has"), first.alias("first")).withColumn("run", F.sum(F.col("first").cast("int")).over(w)).where("has")
+    """Runs of a device's readings that have the code: rule, device_id, start_ms, end_ms, readings. Null codes end a run.
+
+    Of readings that ``order`` leaves tied, those with the code come first, so no run depends on how rows lie."""
+    w = W.partitionBy("device_id").orderBy(*order, F.desc("has"))
+    marked = rows.select("device_id", *order, F.coalesce(F.col(column) == code, F.lit(False)).alias("has"))
+    first = F.col("has") & ~F.coalesce(F.lag("has").over(w), F.lit(False))
+    runs = marked.withColumn("first", first).withColumn("run", F.sum(F.col("first").cast("int")).over(w)).where("has")
     t = F.col("device_ts_ms")
     return runs.groupBy("device_id", "run").agg(F.min(t).alias("start_ms"), F.max(t).alias("end_ms"), F.count("*").alias("readings")).select(F.lit(rule).alias("rule"), "device_id", "start_ms", "end_ms", "readings")
 
