@@ -3,11 +3,13 @@
 import math
 from collections import Counter
 from decimal import Decimal
+from itertools import groupby
 
 import duckdb
 import pytest
 
-from tidegrid.queries import ORACLE_SQL, QUERIES
+from tidegrid.queries import FAULT_SQL, ORACLE_SQL, QUERIES
+from tidegrid.sources.testdata import SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = ("customer", "events", "lineitem", "orders")
@@ -55,3 +57,20 @@ def test_query_where_sql_leaves_ties_open(spark, name):
     want = con.sql(ORACLE_SQL[name].replace(f"{order})", f"{order}, payload_hash)"))
     got = QUERIES[name](spark, sf).select(*want.columns).collect()
     assert Counter(tuple(r) for r in got) == Counter(want.fetchall())
+
+
+@pytest.mark.parametrize("name, code", [("x8_module_faults", 1001)])
+def test_episodes_are_runs_of_readings(spark, name, code):
+    """At sf0.1 by the definition, without row numbers: as tied readings have one code, no order among them matters."""
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    rows = con.sql(f"WITH {SQL}, {FAULT_SQL} SELECT device_id, device_ts_ms, event_id, code = {code} FROM f ORDER BY 1, 2, 3").fetchall()
+    assert len({r[:3] for r in rows}) == len(set(rows)) < len(rows)
+    want = Counter()
+    for (device, has), run in groupby(rows, lambda r: (r[0], r[3])):
+        if has:
+            times = [r[1] for r in run]
+            want[device, times[0], times[-1], len(times)] += 1
+    got = QUERIES[name](spark, sf).select("device_id", "start_ms", "end_ms", "readings").collect()
+    assert Counter(tuple(r) for r in got) == want
