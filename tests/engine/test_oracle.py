@@ -59,7 +59,7 @@ def test_query_where_sql_leaves_ties_open(spark, name):
     assert Counter(tuple(r) for r in got) == Counter(want.fetchall())
 
 
-@pytest.mark.parametrize("name, code", [("x8_module_faults", 1001)])
+@pytest.mark.parametrize("name, code", [("x8_module_faults", 1001), ("x8_thermal_events", 1042)])
 def test_episodes_are_runs_of_readings(spark, name, code):
     """At sf0.1 by the definition, without row numbers: as tied readings have one code, no order among them matters."""
     sf = "/root/testdata/sf0.1"
